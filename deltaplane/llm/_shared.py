@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space of the word rules `[^\x20\x09-\x0D]+`, as literal characters.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -62,7 +63,7 @@ def running_sums(df: DataFrame, order: list[str], values: list[str], by: list[st
     spread = F.xxhash64(*[F.col(c) for c in [*by, *order]])
     sort = [*[F.col(c).asc_nulls_last() for c in by], *[F.col(c).asc_nulls_last() if nulls_last else F.col(c).asc_nulls_first() for c in order], spread]
     ranged = df.repartitionByRange(parts(spark), *sort).sortWithinPartitions(*sort)
-    out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), *(f"`before_{v}` bigint" for v in values), "`__part` int", "`__group` int"])
+    out = T.StructType([*schema.fields, *(T.StructField(f"before_{v}", T.LongType()) for v in values), T.StructField("__part", T.IntegerType()), T.StructField("__group", T.IntegerType())])
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

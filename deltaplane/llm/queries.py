@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deltaplane.llm import licenses, mixing, packing, quality, simhash, wavelet
+from deltaplane.llm import langid, licenses, mixing, packing, quality, simhash, substring, tokencount, topk, wavelet
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -20,6 +20,25 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring.shared_passages(_documents(spark, folder))
+
+
+def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return tokencount.token_counts(_documents(spark, folder), _tokenizer("piece_bpe_32k.model"))
+
+
+def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _documents(spark, folder)
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1
+    model = langid.train(docs.where(~held_out))
+    return langid.label(docs, model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op4_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top_k(spark.read.parquet(f"{folder}/embeddings.parquet"), k=5, every=50)
+
+
 def op5_wavelet(spark: SparkSession, folder: str) -> DataFrame:
     shards = wavelet.write_shards(_documents(spark, folder), _tokenizer("word_bpe_49k.json"), end=1)
     return wavelet.read_documents(shards).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -49,7 +68,7 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_wavelet, op6_licence_scan, op7_curriculum, op8_packing, op9_host_quality, op10_simhash)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_token_counts, op3_language_id, op4_top_k, op5_wavelet, op6_licence_scan, op7_curriculum, op8_packing, op9_host_quality, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:

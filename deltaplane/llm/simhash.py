@@ -9,6 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from deltaplane.llm._components import connected_components
 from deltaplane.llm._shared import materialise, parts, sorted_groups
@@ -54,7 +55,7 @@ def fingerprint(text: str | None, width: int = 4, seed: int = 42, block: int = 1
 def with_fingerprints(docs: DataFrame, text: str = "text", width: int = 4, seed: int = 42) -> DataFrame:
     """docs with `fingerprint_bits` (the 64 bits as a long); text is read from the column of that name and kept out."""
     kept = [c for c in docs.columns if c != text]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text), "fingerprint_bits bigint"])
+    schema = T.StructType([*(f for f in docs.schema if f.name != text), T.StructField("fingerprint_bits", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
