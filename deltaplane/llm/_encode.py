@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import json
+import unicodedata
 from array import array
 from collections.abc import Iterator
 
@@ -39,6 +40,7 @@ class Encoder:
         #: The byte alphabet: printable bytes stand for themselves, the others for characters from 256 on.
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.alphabet = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in printable)}
+        self.space = self.alphabet[32]
         self.marks = frozenset(".,;:!?")
         self.pieces: dict[str, tuple[int, ...]] = {}
         self._clear()
@@ -64,10 +66,13 @@ class Encoder:
         # Letters, perhaps with a mark behind them, are a piece each in any of the rules.
         word, mark = (chunk[:-1], chunk[-1]) if chunk[-1:] in self.marks else (chunk, "")
         if word.isalpha():
+            plain = word.isascii()
             if self.drops:
-                word = word.lower() if word.isascii() else self.tokenizer.normalizer.normalize_str(word)
+                # The library lower-cases by character, so a final sigma is like any other.
+                word = word.lower() if plain or "Σ" not in word and unicodedata.is_normalized("NFC", word) else self.tokenizer.normalizer.normalize_str(word)
             if not self.drops or word.isalpha():
-                own = self._piece((lead + word).encode().decode("latin-1").translate(self.alphabet))
+                piece = (self.space if lead else "") + (word if plain else word.encode().decode("latin-1").translate(self.alphabet))
+                own = self.pieces.get(piece) or self._piece(piece)
                 return own + self._piece(mark) if mark else own
         chunk = lead + chunk
         if any(s in chunk for s in self.specials):
@@ -91,13 +96,21 @@ class Encoder:
             where[chunk] = k
         return k
 
+    def _fill(self, out: list[int | None], parts: list[str], where: dict[str, int], lead: str) -> None:
+        """Numbers the chunks that weren't known."""
+        i, left = -1, out.count(None)
+        for _ in range(left):
+            i = out.index(None, i + 1)
+            p = parts[i]
+            k = where.get(p)  # it may have come up a moment ago
+            out[i] = self._new(where, p, lead) if k is None else k
+
     def _numbers(self, text: str) -> list[int]:
         if self.drops:
             parts = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
             get, first = self.first.get, self.first
             out = [get(p) for p in parts]
-            if None in out:
-                out = [k if k is not None else first[p] if p in first else self._new(first, p, "") for k, p in zip(out, parts, strict=True)]
+            self._fill(out, parts, first, "")
             return out
         parts = text.split(" ")
         rest, get = self.rest, self.rest.get
@@ -105,8 +118,7 @@ class Encoder:
         out[0] = self.first.get(parts[0])
         if out[0] is None:
             out[0] = self._new(self.first, parts[0], "")
-        if None in out:
-            out = [k if k is not None else rest[p] if p in rest else self._new(rest, p, " ") for k, p in zip(out, parts, strict=True)]
+        self._fill(out, parts, rest, " ")
         if -1 not in out:
             return out
         # Runs of blanks: they stay in one chunk with what stands around them.
