@@ -129,14 +129,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     prints = materialise(with_fingerprints(narrow, width=width, seed=seed), "prints")
-    least = prints.groupBy("fingerprint_bits").agg(F.min("doc_id").alias("own"))
+    least = materialise(prints.groupBy("fingerprint_bits").agg(F.min("doc_id").alias("own")), "distinct-prints")
     links = near_links(least.select(F.col("fingerprint_bits").alias("f")), radius)
     nodes = connected_components(links)
     linked = least.join(nodes, F.col("fingerprint_bits") == F.col("node"))
     roots = linked.groupBy("root").agg(F.min("own").alias("least"))
     label = nodes.join(roots, "root").select("node", "least")
     each = least.join(label, F.col("fingerprint_bits") == F.col("node"), "left").select("fingerprint_bits", F.coalesce("least", "own").alias("component_id"))
-    return prints.join(each, "fingerprint_bits").select("doc_id", "fingerprint_bits", "component_id")
+    # Stored, so that no other join shares the stage and hot fingerprints can be split.
+    return prints.join(materialise(each, "classes"), "fingerprint_bits").select("doc_id", "fingerprint_bits", "component_id")
 
 
 def keep_one(docs: DataFrame, **options: object) -> DataFrame:
