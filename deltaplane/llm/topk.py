@@ -51,6 +51,9 @@ class Shard:
         q = np.zeros(self.values.shape[1], np.int64)
         q[: min(len(q), len(query))] = query[: len(q)]
         exact = lambda rows: self.values[rows].astype(np.int64) @ q
+        if not len(self.dims):  # only empty vectors
+            own = np.sort(self.ids[self.ids != own_id])[:k]
+            return own, np.zeros(len(own), np.int64)
         upper = np.maximum(q[self.dims] * self.low, q[self.dims] * self.high)
         least = np.minimum.reduceat(upper, self.first)
         impact = upper - least[self.dims]

@@ -399,6 +399,8 @@ def test_top_k(spark):
     assert topk.top_k(frame.limit(0)).count() == 0
     few = topk.top_k(frame.where("vec_id in (50, 51)"), every=50).collect()
     assert [(r["query_id"], r["rank"], r["vec_id"]) for r in few] == [(50, 1, 51)]
+    bare = topk.top_k(spark.createDataFrame([(i, []) for i in (50, 3, 7)], frame.schema), every=50).collect()
+    assert sorted((r["rank"], r["vec_id"], r["score"]) for r in bare) == [(1, 3, 0), (2, 7, 0)]
 
 
 def test_chains():
