@@ -244,7 +244,7 @@ def _learners() -> dict[str, tuple[Query, str | None]]:
         return run
 
     logistic, tree = le.Base(LogisticRegression, {"maxIter": 10}), le.Base(DecisionTreeRegressor, {"maxDepth": 5})
-    labels = le.ClassTransformation(OLS, Experiment()).label()
+    labels = lambda: le.ClassTransformation(OLS, Experiment()).label()
     orders = SQL["orders"][0]
     forest = lambda x: UpliftForest(x, trees=5, max_depth=3, bins=10)
 
@@ -259,7 +259,7 @@ def _learners() -> dict[str, tuple[Query, str | None]]:
         "transformed_outcome_linear": (linear(lambda: le.TransformedOutcome(OLS, e)), to_sql),
         "r_learner_linear": (r_learner, r_sql),
         "propensity_share": (lambda s, f: tidy((lambda d: le.Propensity(Experiment()).fit(d).predict(d))(view(s, f, "orders")).select("unit", "propensity")), f"WITH v AS ({orders}) SELECT unit, round(avg(treatment) OVER (), 6) AS propensity FROM v"),
-        "cvt_label": (lambda s, f: view(s, f, "orders").select("unit", labels.cast("int").alias("label")), f"WITH v AS ({orders}) SELECT unit, CASE WHEN treatment = outcome THEN 1 ELSE 0 END AS label FROM v"),
+        "cvt_label": (lambda s, f: view(s, f, "orders").select("unit", labels().cast("int").alias("label")), f"WITH v AS ({orders}) SELECT unit, CASE WHEN treatment = outcome THEN 1 ELSE 0 END AS label FROM v"),
         "transformed_outcome_label": (lambda s, f: tidy(view(s, f, "orders").select("unit", le.TransformedOutcome(OLS, Experiment()).label(F.lit(0.25)).alias("label"))), f"WITH v AS ({orders}) SELECT unit, CASE WHEN treatment = 1 THEN outcome / 0.25 ELSE -outcome / 0.75 END::DOUBLE AS label FROM v".replace("-outcome / 0.75", "round(-outcome / 0.75, 6)")),
         "retrospective_filter": (lambda s, f: view(s, f, "orders").where("outcome = 1").groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("treatment").cast("long").alias("treated")), f"WITH v AS ({orders}) SELECT bucket, count(*) AS n, sum(treatment)::BIGINT AS treated FROM v WHERE outcome = 1 GROUP BY bucket"),
         "r_learner_folds": (lambda s, f: view(s, f, "orders").groupBy(fold(2, 42, F.col("unit")).alias("fold")).agg(F.count(F.lit(1)).alias("n")), None),
