@@ -49,6 +49,11 @@ class UpliftForest:
     min_rows: int = 10
     sample_rate: float = 0.63
     feature_rate: float = 1.0
+    #: The rate for a whole tree, and the number of features that a node may try.
+    tree_feature_rate: float = 1.0
+    features_per_split: int | None = None
+    #: Sample rates of control and treated rows, in place of sample_rate.
+    arm_rates: tuple[float, float] | None = None
     metric: str = "kl"
     seed: int = 0
     output: str = "uplift"
@@ -58,11 +63,16 @@ class UpliftForest:
         e = self.e
         if not e.key:
             raise ValueError("a forest needs the key of the units")
+        rate_divergence(np.zeros(1), np.zeros(1), self.metric)
         features = list(e.features)
         inner = splits(df, features, self.bins)
-        rows = e.arms(df).where(F.col(e.outcome).isin(0, 1))
+        arms = e.arms(df).where(F.col(e.outcome).isNotNull())
+        if not arms.where(~F.col(e.outcome).isin(0, 1)).isEmpty():
+            raise ValueError(f"a forest needs outcomes 0 and 1; {e.outcome!r} has others")
+        rows = arms.where(F.col(e.outcome).isin(0, 1))
         binned = rows.select(F.when(e.is_treated, 1).otherwise(0).alias("t"), F.col(e.outcome).cast("int").alias("y"), F.array(*[F.coalesce(bucket_of(F.col(f).cast("double"), inner[f]), F.lit(-1.0)).cast("int") for f in features]).alias("x"), F.explode(F.sequence(F.lit(0), F.lit(self.trees - 1))).alias("tree"), F.struct(*e.key).alias("key"))
-        sample = binned.where(fast_uniform(self.seed, F.col("key"), F.col("tree")) < self.sample_rate).drop("key").persist()
+        rate = F.when(F.col("t") == 1, self.arm_rates[1]).otherwise(self.arm_rates[0]) if self.arm_rates else F.lit(self.sample_rate)
+        sample = binned.where(fast_uniform(self.seed, F.col("key"), F.col("tree")) < rate).drop("key").persist()
         try:
             trees = self._grow(sample, len(features))
         finally:
@@ -100,9 +110,11 @@ class UpliftForest:
         pl, pr = rate(left), rate(right)
         gain = (size_l * rate_divergence(pl[..., 1], pl[..., 0], self.metric) + size_r * rate_divergence(pr[..., 1], pr[..., 0], self.metric)) / whole.sum() - rate_divergence(p[1:2], p[0:1], self.metric)
         good = (left.sum(3).min(2) >= self.min_rows) & (right.sum(3).min(2) >= self.min_rows)
-        if self.feature_rate < 1:
-            chosen = [zlib.crc32(f"{self.seed}:{k}:{n}:{f}".encode()) / 2**32 < self.feature_rate for f in range(features)]
-            good &= np.array(chosen)[:, None]
+        draw = lambda *x: zlib.crc32(":".join(map(str, (self.seed, k, *x))).encode()) / 2**32
+        chosen = [f for f in range(features) if draw(n, f) < self.feature_rate and draw("tree", f) < self.tree_feature_rate]
+        if self.features_per_split:
+            chosen = sorted(chosen, key=lambda f: draw(n, "try", f))[: self.features_per_split]
+        good &= np.isin(np.arange(features), chosen)[:, None]
         gain = np.where(good, gain, -np.inf)
         f, b = np.unravel_index(int(gain.argmax()), gain.shape)
         if not gain[f, b] > 1e-12:
@@ -178,9 +190,14 @@ def shuffled(df: DataFrame, column: str, key: Column, seed: int) -> DataFrame:
     return ranked(df, key).join(values, "__rank").withColumn(column, F.col("__value")).drop("__rank", "__value")
 
 
-def permutation_importance(df: DataFrame, forest: UpliftForest, repeats: int = 3, buckets: int = 30) -> DataFrame:
-    """feature, score: what the Qini coefficient of the forest loses when the feature is shuffled; the mean of repeats."""
+def permutation_importance(df: DataFrame, forest: UpliftForest, repeats: int = 3, buckets: int = 30, samples: int | None = None) -> DataFrame:
+    """feature, score: what the Qini coefficient of the forest loses when the feature is shuffled; the mean of repeats.
+
+    The forest is fitted on all rows; samples: it is measured on so many of them, chosen by a hash of the key.
+    """
     e, model = forest.e, forest.fit(df)
+    if samples is not None:
+        df = df.orderBy(F.xxhash64(F.lit(forest.seed), *e.key), *e.key).limit(samples)
     scored = e.with_(score=forest.output)
     area = lambda frame: qini_coefficient(qini(model.predict(frame), scored, buckets)).first()[0]
     base, rows = area(df), []

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from deltaplane.functions.draws import fold
 from deltaplane.operators.roles import Experiment
 
-FEATURES, LABEL, WEIGHT = "__features", "__label", "__weight"
+FEATURES, LABEL, WEIGHT, HELD = "__features", "__label", "__weight", "__held"
 
 
 @dataclass(frozen=True)
@@ -29,6 +29,12 @@ class Base:
         rows = df.withColumn(LABEL, label.cast("double"))
         if weight is not None:
             rows, named = rows.withColumn(WEIGHT, weight), {**named, "weightCol": WEIGHT}
+        if HELD in df.columns:
+            # Boosted trees stop by the validation rows; other estimators have no use for them.
+            if hasattr(self.kind, "validationIndicatorCol"):
+                named["validationIndicatorCol"] = HELD
+            else:
+                rows = rows.where(~F.col(HELD))
         return self.kind(**named).fit(rows)
 
 
@@ -62,9 +68,11 @@ class Learner:
     e: Experiment
     output: str = "score"
 
-    def rows(self, df: DataFrame) -> DataFrame:
-        """The two arms with features and a 0/1 treatment `__t`."""
+    def rows(self, df: DataFrame, validation: DataFrame | None = None) -> DataFrame:
+        """The two arms with features and a 0/1 treatment `__t`; with validation rows also the flag `__held`."""
         e = self.e
+        if validation is not None:
+            df = df.withColumn(HELD, F.lit(False)).unionByName(validation.select(*df.columns).withColumn(HELD, F.lit(True)))
         return assembled(e.arms(df), e.features).withColumn("__t", F.when(e.is_treated, 1.0).otherwise(0.0))
 
     def finish(self, df: DataFrame, out: DataFrame, score: Column) -> DataFrame:
@@ -86,8 +94,8 @@ class Fitted:
 class SLearner(Learner):
     """One model on features and treatment; the score is its difference between the arms."""
 
-    def fit(self, df: DataFrame) -> Fitted:
-        rows = self.rows(df).drop(FEATURES)
+    def fit(self, df: DataFrame, validation: DataFrame | None = None) -> Fitted:
+        rows = self.rows(df, validation).drop(FEATURES)
         return Fitted(self, (self.base.fit(assembled(rows, self.e.features, ("__t",)), F.col(self.e.outcome)),))
 
     def score(self, df: DataFrame, parts: tuple) -> DataFrame:
@@ -100,8 +108,8 @@ class SLearner(Learner):
 class TLearner(Learner):
     """A model for each arm."""
 
-    def fit(self, df: DataFrame) -> Fitted:
-        rows = self.rows(df).persist()
+    def fit(self, df: DataFrame, validation: DataFrame | None = None) -> Fitted:
+        rows = self.rows(df, validation).persist()
         try:
             return Fitted(self, tuple(parallel(*[lambda t=t: self.base.fit(rows.where(F.col("__t") == t), F.col(self.e.outcome)) for t in (1.0, 0.0)])))
         finally:
@@ -119,9 +127,9 @@ class XLearner(Learner):
     second: Base | None = None
     second_features: tuple[str, ...] = ()
 
-    def fit(self, df: DataFrame) -> Fitted:
+    def fit(self, df: DataFrame, validation: DataFrame | None = None) -> Fitted:
         e = self.e
-        rows = self.rows(df).persist()
+        rows = self.rows(df, validation).persist()
         try:
             first = parallel(*[lambda t=t: self.base.fit(rows.where(F.col("__t") == t), F.col(e.outcome)) for t in (1.0, 0.0)])
             both = applied(first[1], applied(first[0], rows, "__1"), "__0")
@@ -144,8 +152,8 @@ class ClassTransformation(Learner):
     def label(self) -> Column:
         return F.when(F.when(self.e.is_treated, 1.0).otherwise(0.0) == F.col(self.e.outcome).cast("double"), 1.0).otherwise(0.0)
 
-    def fit(self, df: DataFrame) -> Fitted:
-        return Fitted(self, (self.base.fit(self.rows(df), self.label()),))
+    def fit(self, df: DataFrame, validation: DataFrame | None = None) -> Fitted:
+        return Fitted(self, (self.base.fit(self.rows(df, validation), self.label()),))
 
     def score(self, df: DataFrame, parts: tuple) -> DataFrame:
         return self.finish(df, applied(parts[0], assembled(df, self.e.features), "__p"), 2 * F.col("__p") - 1)
@@ -153,11 +161,15 @@ class ClassTransformation(Learner):
 
 @dataclass(frozen=True)
 class Propensity:
-    """P(treated): by a classifier, or without one the share of the treated in training, the same for all rows."""
+    """P(treated): by a classifier, or without one the share of the treated in training, the same for all rows.
+
+    own_arm_share: without a classifier, each row gets the share of its own arm among the rows that are scored.
+    """
 
     e: Experiment
     base: Base | None = None
     output: str = "propensity"
+    own_arm_share: bool = False
 
     def fit(self, df: DataFrame) -> Fitted:
         arms = self.e.arms(df)
@@ -166,6 +178,9 @@ class Propensity:
         return Fitted(self, (self.base.fit(assembled(arms, self.e.features), F.when(self.e.is_treated, 1.0).otherwise(0.0)),))
 
     def score(self, df: DataFrame, parts: tuple) -> DataFrame:
+        if self.base is None and self.own_arm_share:
+            share = F.lit(self.fit(df).parts[0]).cast("double")
+            return df.withColumn(self.output, F.when(self.e.is_treated, share).when(self.e.is_control, 1 - share))
         if self.base is None:
             return df.withColumn(self.output, F.lit(parts[0]).cast("double"))
         out = applied(parts[0], assembled(df, self.e.features), "__p").withColumn(self.output, F.col("__p"))
@@ -182,9 +197,10 @@ class TransformedOutcome(Learner):
         y = F.col(self.e.outcome).cast("double")
         return F.when(self.e.is_treated, F.try_divide(y, p)).otherwise(F.try_divide(-y, 1 - p))
 
-    def fit(self, df: DataFrame) -> Fitted:
+    def fit(self, df: DataFrame, validation: DataFrame | None = None) -> Fitted:
         p = Propensity(self.e, self.propensity, "__propensity").fit(df)
-        return Fitted(self, (self.base.fit(self.rows(p.predict(self.e.arms(df))), self.label(F.col("__propensity"))),))
+        held = None if validation is None else p.predict(self.e.arms(validation))
+        return Fitted(self, (self.base.fit(self.rows(p.predict(self.e.arms(df)), held), self.label(F.col("__propensity"))),))
 
     def score(self, df: DataFrame, parts: tuple) -> DataFrame:
         return self.finish(df, applied(parts[0], assembled(df, self.e.features), "__p"), F.col("__p"))
@@ -196,8 +212,8 @@ class Retrospective(Learner):
 
     positive: float = 1.0
 
-    def fit(self, df: DataFrame) -> Fitted:
-        return Fitted(self, (self.base.fit(self.rows(df).where(F.col(self.e.outcome) == self.positive), F.col("__t")),))
+    def fit(self, df: DataFrame, validation: DataFrame | None = None) -> Fitted:
+        return Fitted(self, (self.base.fit(self.rows(df, validation).where(F.col(self.e.outcome) == self.positive), F.col("__t")),))
 
     def score(self, df: DataFrame, parts: tuple) -> DataFrame:
         return self.finish(df, applied(parts[0], assembled(df, self.e.features), "__p"), F.col("__p"))
@@ -205,7 +221,10 @@ class Retrospective(Learner):
 
 @dataclass(frozen=True)
 class RLearner(Learner):
-    """Cross-fitted residuals: the final model regresses (y - m) / (t - p) with weights (t - p)^2. base fits m."""
+    """Cross-fitted residuals: the final model regresses (y - m) / (t - p) with weights (t - p)^2. base fits m.
+
+    Validation rows are one more fold, so they count in the final model too.
+    """
 
     final: Base | None = None
     propensity: Base | None = None
@@ -220,9 +239,14 @@ class RLearner(Learner):
             raise ValueError("folds need the key of the units or a fold column")
         return fold(self.folds, self.seed, *[F.col(c) for c in self.e.key])
 
-    def fit(self, df: DataFrame) -> Fitted:
+    def fit(self, df: DataFrame, validation: DataFrame | None = None) -> Fitted:
         e = self.e
-        rows = self.rows(df).withColumn("__fold", self.fold_of()).persist()
+        read = [FEATURES, "__t", "__fold", e.outcome]
+        rows = self.rows(df).withColumn("__fold", self.fold_of()).select(*read)
+        if validation is not None:
+            last = (rows.agg(F.max("__fold")).first()[0] or 0) + 1
+            rows = rows.unionByName(self.rows(validation).withColumn("__fold", F.lit(last)).select(*read))
+        rows = rows.persist()
         try:
             numbers = [r[0] for r in rows.select("__fold").distinct().orderBy("__fold").collect()]
             parts = parallel(*[lambda k=k: self._residuals(rows, k) for k in numbers])

@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deltaplane import plots
-from deltaplane.functions.draws import POISSON_CDF, fold
+from deltaplane.functions.draws import POISSON_CDF, fold, poisson, portable_uniform
+from deltaplane.functions.features import feature_pipeline
 from deltaplane.operators import evaluate as ev
 from deltaplane.operators import learners as le
 from deltaplane.operators import selection as se
+from deltaplane.operators.buckets import label_of, quantile_buckets, threshold_of
 from deltaplane.operators.forest import UpliftForest, permutation_importance
 from deltaplane.operators.roles import Experiment
 from deltaplane.sources.simulate import randomised_trial
@@ -107,6 +109,26 @@ def _curve_sql(inner: str, what: str) -> str:
     return f"SELECT round({area if what == 'auuc' else f'{area} - {line}'}, 4) AS {what} FROM (SELECT fraction, ate, lag(fraction) OVER (ORDER BY fraction) AS x, lag(ate) OVER (ORDER BY fraction) AS y FROM ({inner}))"
 
 
+def _draws_sql() -> str:
+    uniform = "CAST('0x' || substr(md5(CAST(unit AS VARCHAR) || ':' || CAST(d AS VARCHAR)), 1, 8) AS BIGINT) / CAST(4294967296.0 AS DOUBLE)"
+    times = " + ".join(f"CASE WHEN x >= CAST({p!r} AS DOUBLE) THEN 1 ELSE 0 END" for p in POISSON_CDF)
+    return f"WITH v AS ({SQL['orders'][0]}), x AS (SELECT CAST(d AS INT) AS draw, {uniform} AS x FROM v, range(1, 6) AS r(d)) SELECT draw, CAST({times} AS INT) AS times, count(*) AS n FROM x GROUP BY 1, 2"
+
+
+def _quantiles(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows, lower split and label of each quantile bucket of the orders' score."""
+    rows, inner = quantile_buckets(view(spark, folder, "orders"), "score", BUCKETS)
+    by = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    return tidy(by.withColumns({"threshold": threshold_of(F.col("bucket"), inner), "label": label_of(F.col("bucket"), inner)}))
+
+
+def _quantiles_sql() -> str:
+    shares = ", ".join(repr(i / BUCKETS) for i in range(1, BUCKETS))
+    low, high = "CASE WHEN bucket > 0 THEN cuts[CAST(bucket AS INT)] END", "CASE WHEN bucket < len(cuts) THEN cuts[CAST(bucket AS INT) + 1] END"
+    text = lambda x, other: f"coalesce(printf('%.2f', {x}), '{other}')"
+    return f"WITH v AS ({SQL['orders'][0]}), q AS (SELECT list_sort(list_distinct(quantile_disc(score, [{shares}]))) AS cuts FROM v), u AS (SELECT CAST(len(list_filter(cuts, lambda c: c <= score)) AS DOUBLE) AS bucket, cuts FROM v, q) SELECT bucket, count(*) AS n, round({low}, 6) AS threshold, '[' || {text(low, '-inf')} || ', ' || {text(high, 'inf')} || ')' AS label FROM u GROUP BY bucket, cuts"
+
+
 def _evaluations() -> dict[str, tuple[Query, str | None]]:
     q, i1 = "quantile", {"iroi": METRIC_SQL["iroi"]}
     rate = {"target_rate": METRIC_SQL["target_rate"]}
@@ -139,7 +161,13 @@ def _evaluations() -> dict[str, tuple[Query, str | None]]:
         "cate_lift_ci": (on("orders", lambda d, e: ev.cate_lift(d, e, BUCKETS, BOOT)), evaluation_sql("orders", {"cum_cate": METRIC_SQL["ate"]}, q, True, draws=DRAWS)),
         "qini_ci": (on("orders", lambda d, e: ev.qini(d, e, BUCKETS, BOOT)), evaluation_sql("orders", {"ate": f"({METRIC_SQL['ate']}) * f"}, q, True, DRAWS, True, True)),
         "cum_iroi_ci": (on("events", lambda d, e: ev.cum_iroi(d, e, BUCKETS, BOOT)), evaluation_sql("events", i1, q, True, DRAWS, True)),
-        "curve_plot_data": (lambda s, f: tidy(plots.curve_data(ev.cate_lift(view(s, f, "orders"), experiment("orders"), BUCKETS), "cum_cate")), None),
+        "target_rate_per_bucket_ci": (on("events", lambda d, e: ev.target_rate(d, e, bootstrap=BOOT)), evaluation_sql("events", rate, "bucket", draws=DRAWS)),
+        "iroi_per_bucket_ci": (on("events", lambda d, e: ev.iroi(d, e, per_bucket=True, bootstrap=BOOT)), evaluation_sql("events", i1, "bucket", draws=DRAWS)),
+        "iroi_per_quantile_ci": (on("events", lambda d, e: ev.iroi(d, e, BUCKETS, bootstrap=BOOT)), evaluation_sql("events", i1, q, draws=DRAWS)),
+        "poisson_draws": (lambda s, f: view(s, f, "orders").select(F.explode(F.sequence(F.lit(1), F.lit(5))).alias("draw"), "unit").select("draw", poisson(portable_uniform(F.col("unit"), F.col("draw"))).alias("times")).groupBy("draw", "times").agg(F.count(F.lit(1)).alias("n")), _draws_sql()),
+        "quantile_buckets": (_quantiles, _quantiles_sql()),
+        "bar_plot_data": (lambda s, f: tidy(plots.bar_data(ev.cate(view(s, f, "orders"), experiment("orders")), "cate")), f"SELECT bucket AS x, cate AS y FROM ({evaluation_sql('orders', {'cate': METRIC_SQL['ate']}, 'bucket')})"),
+        "curve_plot_data": (lambda s, f: tidy(plots.curve_data(tidy(ev.cate_lift(view(s, f, "orders"), experiment("orders"), BUCKETS)), "cum_cate")), f"WITH k AS ({evaluation_sql('orders', {'cum_cate': METRIC_SQL['ate']}, q, True)}), o AS (SELECT arg_max(cum_cate, fraction) AS overall FROM k) SELECT fraction AS x, cum_cate AS y, overall, round(fraction * overall, 6) AS diagonal FROM k, o"),
         "effect_by_window": (lambda s, f: tidy(effect_by_window(s.read.parquet(f"{f}/events.parquet").withColumn("treatment", (F.col("user_id") % 2).cast("int")).withColumn("outcome", (F.col("event_type") == "purchase").cast("int")), Experiment(), "ts", "1 day").select("n", "ate", F.col("start").cast("string").alias("start"))), "SELECT count(*) AS n, round(sum(CASE WHEN user_id % 2 = 1 AND event_type = 'purchase' THEN 1 ELSE 0 END) / nullif(sum(CASE WHEN user_id % 2 = 1 THEN 1 ELSE 0 END), 0)::DOUBLE - sum(CASE WHEN user_id % 2 = 0 AND event_type = 'purchase' THEN 1 ELSE 0 END) / nullif(sum(CASE WHEN user_id % 2 = 0 THEN 1 ELSE 0 END), 0)::DOUBLE, 6) AS ate, strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS start FROM events GROUP BY date_trunc('day', ts)"),
     }
 
@@ -202,6 +230,7 @@ def _selections() -> dict[str, tuple[Query, str | None]]:
     return out | {
         "uplift_curve_filter": (lines(lambda d: se.uplift_curve_filter(d, e, FEATURES)), f"WITH {_binned_sql()}, g AS (SELECT feature, bin, {_CELLS} FROM p GROUP BY feature, bin), b AS (SELECT feature, {_CURVE_BINS} AS x FROM g) SELECT feature, round(sum(x), 6) AS score FROM b GROUP BY feature"),
         "uplift_curve_bins": (lines(lambda d: se.uplift_curve_bins(d, e, FEATURES)), f"WITH {_binned_sql()}, g AS (SELECT feature, bin, {_CELLS} FROM p GROUP BY feature, bin) SELECT feature, round(bin, 6) AS bin, round({_CURVE_BINS}, 6) AS contribution FROM g"),
+        "divergence_bins": (lines(lambda d: se.divergence_bins(d, e, FEATURES, method="ED")), f"WITH {_binned_sql()}, g AS (SELECT feature, bin, {_CELLS} FROM p GROUP BY feature, bin), r AS ({_rates_sql('g')}) SELECT feature, round(bin, 6) AS bin, round({_distance_sql('ED')} * (t1 + t0 + c1 + c0) / sum(t1 + t0 + c1 + c0) OVER (PARTITION BY feature), 6) AS contribution FROM r"),
         "niv_filter": (lines(lambda d: se.niv_filter(d, e, FEATURES)), _niv_sql()),
         "discretise": (lines(lambda d: se.discretise(d, FEATURES, exact=True).groupBy(*FEATURES).agg(F.count(F.lit(1)).alias("n"))), f"WITH {_binned_sql()} SELECT l_tax, l_linenumber, l_quantity, count(*) AS n FROM d GROUP BY 1, 2, 3"),
         "min_max": (lambda s, f: tidy(se.min_max(scores(s, f), ["a", "b", "c"])), f"SELECT {', '.join(f'round(({c} - min({c}) OVER ()) / nullif(max({c}) OVER () - min({c}) OVER (), 0), 6) AS {c}' for c in 'abc')} FROM ({parts})"),
@@ -228,13 +257,19 @@ def _learners() -> dict[str, tuple[Query, str | None]]:
     per_arm = f"WITH {v}, m AS (SELECT regr_slope(y, x) FILTER (t = 1) - regr_slope(y, x) FILTER (t = 0) AS s, regr_intercept(y, x) FILTER (t = 1) - regr_intercept(y, x) FILTER (t = 0) AS i FROM v) " + tail.format("i + s * x", "i, s")
     s_sql = f"WITH {v}, m AS (SELECT (var_pop(x) * covar_pop(t, y) - covar_pop(x, t) * covar_pop(x, y)) / (var_pop(x) * var_pop(t) - covar_pop(x, t) * covar_pop(x, t)) AS s FROM v) " + tail.format("s", "s")
     to_sql = f"WITH {v}, p AS (SELECT avg(t) AS p FROM v), d AS (SELECT x, CASE WHEN t = 1 THEN y / p ELSE -y / (1 - p) END AS d FROM v, p), m AS (SELECT regr_slope(d, x) AS s, regr_intercept(d, x) AS i FROM d) " + tail.format("i + s * x", "i, s")
-    r_sql = f"WITH {v}, f AS (SELECT 0 AS k UNION ALL SELECT 1), o AS (SELECT k, regr_slope(y, x) AS s, regr_intercept(y, x) AS i, avg(t) AS p FROM v, f WHERE l_linenumber % 2 <> k GROUP BY k), r AS (SELECT x, (y - i - s * x) / (t - p) AS d, (t - p) * (t - p) AS w FROM v JOIN o ON l_linenumber % 2 = k), c AS (SELECT sum(w) AS w, sum(w * x) AS wx, sum(w * d) AS wd, sum(w * x * x) AS wxx, sum(w * x * d) AS wxd FROM r), m AS (SELECT (w * wxd - wx * wd) / (w * wxx - wx * wx) AS s, (wd - (w * wxd - wx * wd) / (w * wxx - wx * wx) * wx) / w AS i FROM c) " + tail.format("i + s * x", "i, s")
+    r_sql = f"WITH {v}, f AS (SELECT unnest([0, 1]) AS k), o AS (SELECT k, regr_slope(y, x) AS s, regr_intercept(y, x) AS i, avg(t) AS p FROM v, f WHERE l_linenumber % 2 <> k GROUP BY k), r AS (SELECT x, (y - i - s * x) / (t - p) AS d, (t - p) * (t - p) AS w FROM v JOIN o ON l_linenumber % 2 = k), c AS (SELECT sum(w) AS w, sum(w * x) AS wx, sum(w * d) AS wd, sum(w * x * x) AS wxx, sum(w * x * d) AS wxd FROM r), m AS (SELECT (w * wxd - wx * wd) / (w * wxx - wx * wx) AS s, (wd - (w * wxd - wx * wd) / (w * wxx - wx * wx) * wx) / w AS i FROM c) " + tail.format("i + s * x", "i, s")
 
-    def r_learner(spark: SparkSession, folder: str) -> DataFrame:
+    def r_learner(spark: SparkSession, folder: str, validated: bool = False) -> DataFrame:
         d = view(spark, folder, "lines").drop("score").withColumn("half", F.col("l_linenumber").cast("int") % 2)
-        m = le.RLearner(OLS, e, fold_column="half").fit(d)
+        learner, held = le.RLearner(OLS, e, fold_column="half"), F.col("l_linenumber") > 5
+        m = learner.fit(d.where(~held), d.where(held)) if validated else learner.fit(d)
         return tidy(m.predict(d).groupBy("l_quantity").agg(F.avg("score").alias("score"), F.count(F.lit(1)).alias("n")), 3)
 
+    def categories(spark: SparkSession, folder: str) -> DataFrame:
+        o = spark.read.parquet(f"{folder}/orders.parquet")
+        out = feature_pipeline(["o_orderpriority"], ["o_totalprice"], one_hot=False).fit(o).transform(o)
+        return out.groupBy("o_orderpriority", F.col("o_orderpriority_index").alias("category")).agg(F.count(F.lit(1)).alias("n"))
+
     def trial(make, binary: bool = True) -> Query:
         def run(spark: SparkSession, folder: str) -> DataFrame:
             d = randomised_trial(spark, 4000, binary=binary, seed=7).persist()
@@ -258,6 +293,9 @@ def _learners() -> dict[str, tuple[Query, str | None]]:
         "s_learner_linear": (linear(lambda: le.SLearner(OLS, e)), s_sql),
         "transformed_outcome_linear": (linear(lambda: le.TransformedOutcome(OLS, e)), to_sql),
         "r_learner_linear": (r_learner, r_sql),
+        "r_learner_validation": (lambda s, f: r_learner(s, f, True), r_sql.replace("[0, 1]", "[0, 1, 2]").replace("l_linenumber % 2", "(CASE WHEN l_linenumber > 5 THEN 2 ELSE l_linenumber % 2 END)")),
+        "propensity_own_arm": (lambda s, f: tidy((lambda d: le.Propensity(Experiment(), own_arm_share=True).fit(d).predict(d))(view(s, f, "orders")).select("unit", "propensity")), f"WITH v AS ({orders}), p AS (SELECT avg(treatment) AS p FROM v) SELECT unit, round(CASE WHEN treatment = 1 THEN p ELSE 1 - p END, 6) AS propensity FROM v, p"),
+        "category_index": (categories, "WITH c AS (SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1) SELECT o_orderpriority, CAST(row_number() OVER (ORDER BY n DESC, o_orderpriority) - 1 AS DOUBLE) AS category, n FROM c"),
         "propensity_share": (lambda s, f: tidy((lambda d: le.Propensity(Experiment()).fit(d).predict(d))(view(s, f, "orders")).select("unit", "propensity")), f"WITH v AS ({orders}) SELECT unit, round(avg(treatment) OVER (), 6) AS propensity FROM v"),
         "cvt_label": (lambda s, f: view(s, f, "orders").select("unit", labels().cast("int").alias("label")), f"WITH v AS ({orders}) SELECT unit, CASE WHEN treatment = outcome THEN 1 ELSE 0 END AS label FROM v"),
         "transformed_outcome_label": (lambda s, f: tidy(view(s, f, "orders").select("unit", le.TransformedOutcome(OLS, Experiment()).label(F.lit(0.25)).alias("label"))), f"WITH v AS ({orders}) SELECT unit, CASE WHEN treatment = 1 THEN outcome / 0.25 ELSE -outcome / 0.75 END::DOUBLE AS label FROM v".replace("-outcome / 0.75", "round(-outcome / 0.75, 6)")),

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from deltaplane.operators import evaluate as ev
+from deltaplane.operators.roles import Experiment
+
 
 def bar_data(result: DataFrame, metric: str, bucket: str = "bucket") -> DataFrame:
     """x, y and, with intervals, err_low and err_high; highest first."""
@@ -21,9 +24,11 @@ def curve_data(result: DataFrame, metric: str, x: str = "fraction") -> DataFrame
 
 def draw(data: DataFrame, label: str | None = None, ax=None):
     """Draws bar_data or curve_data: points with error bars or bars, or a curve with its band and reference."""
-    import matplotlib.pyplot as plt
+    if ax is None:
+        import matplotlib.pyplot as plt
 
-    ax, rows = ax or plt.gca(), data.toPandas()
+        ax = plt.gca()
+    rows = data.toPandas()
     if "overall" in rows:
         ax.plot(rows["x"], rows["y"], label=label)
         ax.plot(rows["x"], rows["diagonal"], linestyle="--", color="grey")
@@ -34,3 +39,22 @@ def draw(data: DataFrame, label: str | None = None, ax=None):
     else:
         ax.bar(rows["x"].astype(str), rows["y"], label=label)
     return ax
+
+
+#: What can be estimated and drawn in one call: the operator, its main column, whether it is a curve.
+KINDS = {
+    "target_rate": (ev.target_rate, "target_rate", False), "cate": (ev.cate, "cate", False), "iroi": (ev.iroi, "iroi", False),
+    "cate_lift": (ev.cate_lift, "cum_cate", True), "qini": (ev.qini, "ate", True), "cum_iroi": (ev.cum_iroi, "iroi", True),
+}
+
+
+def estimate_and_draw(df: DataFrame, e: Experiment, kind: str, ax=None, label: str = "", **options) -> DataFrame:
+    """Draws an evaluation of one of KINDS and returns it. options go to the operator; a Qini label shows the coefficient."""
+    if kind not in KINDS:
+        raise ValueError(f"kind must be one of {', '.join(KINDS)}, not {kind!r}")
+    operator, metric, curve = KINDS[kind]
+    out = operator(df, e, **options)
+    if kind == "qini":
+        label = f"{label or 'qini'}: {ev.qini_coefficient(out).first()[0]:.4f}"
+    draw(curve_data(out, metric) if curve else bar_data(out, metric), label or None, ax)
+    return out

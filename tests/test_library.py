@@ -6,16 +6,18 @@ import math
 
 import pytest
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
+from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression
 from pyspark.sql import functions as F
 
 from deltaplane import Bootstrap, Experiment, cate, cate_lift, cum_iroi, iroi, qini, roi, target_rate
+from deltaplane.functions.draws import hash_split
+from deltaplane.functions.features import feature_pipeline
 from deltaplane.operators import learners as le
 from deltaplane.operators import selection as se
 from deltaplane.operators.buckets import quantile_buckets
 from deltaplane.operators.evaluate import as_dict, ate, qini_coefficient
-from deltaplane.operators.forest import UpliftForest, shuffled
-from deltaplane.plots import bar_data, curve_data
+from deltaplane.operators.forest import UpliftForest, permutation_importance, shuffled
+from deltaplane.plots import bar_data, curve_data, estimate_and_draw
 from deltaplane.sources.simulate import randomised_trial
 
 FEATURES = tuple(f"feature_{i}" for i in range(1, 6))
@@ -138,6 +140,58 @@ def test_selection(spark, trial, e):
     assert [r["weighted_score"] for r in se.linear_weighting(scores, ["x", "y"]).collect()] == [4.0, 3.5]
 
 
+def test_validation_rows(spark, e):
+    df = randomised_trial(spark, 2000, seed=9)
+    train, held = hash_split(df, [3, 1], "unit")
+    boosted = le.Base(GBTRegressor, {"maxIter": 5, "maxDepth": 3, "seed": 1})
+    for learner in (le.SLearner(boosted, e), le.TLearner(boosted, e), le.XLearner(le.Base(LinearRegression), e), le.TransformedOutcome(boosted, e), le.RLearner(le.Base(LinearRegression), e)):
+        out = learner.fit(train, held).predict(held)
+        assert out.columns == [*df.columns, "score"] and out.where("score is null").isEmpty(), learner
+    line = le.TLearner(le.Base(LinearRegression), e)
+    a, b = (m.predict(held).orderBy("unit").first()["score"] for m in (line.fit(train), line.fit(train, held)))
+    assert abs(a - b) < 1e-9  # without a use for them, validation rows change nothing
+
+
+def test_shares_and_features(spark, e):
+    df = spark.createDataFrame([(1, 1, "a"), (2, 1, "b"), (3, 1, "b"), (4, 0, None)], "unit long, treatment int, kind string")
+    rows = le.Propensity(e, own_arm_share=True).fit(df).predict(df).orderBy("unit").collect()
+    assert [r["propensity"] for r in rows] == [0.75, 0.75, 0.75, 0.25]
+    out = feature_pipeline(["kind"], ["unit"]).fit(df).transform(df).orderBy("unit").collect()
+    assert [r["kind_index"] for r in out] == [1.0, 0.0, 0.0, 2.0] and out[0]["features"].toArray().tolist()[-1] == 1.0
+
+
+def test_forest_sampling(trial, e):
+    forest = UpliftForest(e, trees=3, max_depth=3, bins=8, features_per_split=2, tree_feature_rate=0.8, arm_rates=(0.5, 0.7), metric="euclidean")
+    assert forest.fit(trial).predict(trial).where("uplift is null").isEmpty()
+    found = permutation_importance(trial, forest, repeats=1, buckets=5, samples=500).collect()
+    assert sorted(r["feature"] for r in found) == sorted(FEATURES)
+    with pytest.raises(ValueError):
+        forest.fit(trial.withColumn("outcome", F.col("unit")))
+    with pytest.raises(ValueError):
+        UpliftForest(e, metric="none").fit(trial)
+
+
+class Axes:
+    """Notes what is drawn."""
+
+    def __init__(self):
+        self.calls = []
+
+    def __getattr__(self, name):
+        return lambda *a, **k: self.calls.append((name, k.get("label")))
+
+
+def test_drawing(trial, e):
+    for kind, options, first in (("cate", {}, "bar"), ("cate", {"quantiles": 4, "bootstrap": Bootstrap(5)}, "errorbar"), ("iroi", {"per_bucket": True}, "bar"), ("target_rate", {}, "bar"), ("cate_lift", {"buckets": 4}, "plot"), ("cum_iroi", {"buckets": 4, "bootstrap": Bootstrap(5)}, "plot")):
+        ax = Axes()
+        assert estimate_and_draw(trial, e, kind, ax, **options).count() > 0 and ax.calls[0][0] == first
+    ax = Axes()
+    curve = estimate_and_draw(trial, e, "qini", ax, label="a", buckets=4)
+    assert ax.calls[0] == ("plot", f"a: {qini_coefficient(curve).first()[0]:.4f}")
+    with pytest.raises(ValueError):
+        estimate_and_draw(trial, e, "none", ax)
+
+
 def test_queries_without_the_optional_part(spark):
     from deltaplane.plans import queries
 
