@@ -29,3 +29,11 @@ def test_partners_beyond_the_first(spark):
     docs |= {11: q[:20], 12: q[20:40], 13: q[40:], 14: [*q[:30], "changed", *q[31:]], 15: words(rnd, 4) + q}
     got = passages(spark, docs)
     assert got[6, 3] == [(0, 50)] and got[15, 14] == [(4, 64)] and set(got) == {(6, 3), (15, 14)}
+
+
+def test_passages_behind_a_gap(spark):
+    """A chain goes on where its first alignment ends."""
+    rnd = random.Random(2)
+    stray, p, q, r = (words(rnd, n) for n in (5, 500, 60, 70))
+    docs = {1: stray + words(rnd, 35) + p, 2: stray + words(rnd, 35) + p, 11: q + words(rnd, 100) + r, 12: q + words(rnd, 100) + r}
+    assert {k: sorted(v) for k, v in passages(spark, docs).items()} == {(2, 1): [(40, 540)], (12, 11): [(0, 60), (160, 230)]}
