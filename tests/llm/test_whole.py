@@ -37,3 +37,16 @@ def test_passages_behind_a_gap(spark):
     stray, p, q, r = (words(rnd, n) for n in (5, 500, 60, 70))
     docs = {1: stray + words(rnd, 35) + p, 2: stray + words(rnd, 35) + p, 11: q + words(rnd, 100) + r, 12: q + words(rnd, 100) + r}
     assert {k: sorted(v) for k, v in passages(spark, docs).items()} == {(2, 1): [(40, 540)], (12, 11): [(0, 60), (160, 230)]}
+
+
+def test_evenly_spaced_changes(spark):
+    """Passages of 60 words, every 6th to 10th changed, and one of 50 words with a single run of five, are all found."""
+    rnd = random.Random(4)
+    docs = {}
+    for k in range(40):
+        p = words(rnd, 60)
+        changed = [f"x{k}" if i % (6 + k % 5) == 5 else w for i, w in enumerate(p)]
+        docs |= {2 * k: words(rnd, 20) + p + words(rnd, 20), 2 * k + 1: words(rnd, 10) + changed + words(rnd, 10)}
+    p = words(rnd, 50)
+    docs |= {100: words(rnd, 9) + p + words(rnd, 9), 101: words(rnd, 9) + [f"y{i}" if i in (4, 9, 14, 19, 24, 29, 34, 39, 45) else w for i, w in enumerate(p)] + words(rnd, 9)}
+    assert set(passages(spark, docs)) == {(2 * k + 1, 2 * k) for k in range(40)} | {(101, 100)}
