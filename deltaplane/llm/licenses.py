@@ -89,16 +89,18 @@ def _start(text: str, key: str) -> int:
     return next(i for i in range(len(words)) if words[i : i + len(k)] == k)
 
 
-def _votes(i: int, label: str, notice: str, vocabulary: set[str]) -> dict[str, Column]:
-    """__own_i: how many of the rare words the notice has; __starts_i: the places they vote for, sorted, if its mandatory phrase stands anywhere."""
+def _votes(i: int, label: str, notice: str, by_rarity: list[str], rarest: int) -> dict[str, Column]:
+    """__own_i: how many of the notice's own rarest words the document has; __starts_i: the places they vote for, sorted, if its mandatory phrase stands anywhere."""
+    vocabulary = set(by_rarity)
     at: dict[str, list[int]] = {}
     for place, w in enumerate(notice.split()):
         if w in vocabulary:
             at.setdefault(w, []).append(place)
     postings = F.create_map(*[x for w, p in at.items() for x in (F.lit(w), F.array(*[F.lit(k).cast("long") for k in p]))])
-    rare = F.filter("hits", lambda x: F.array_contains("rare", x["w"]) & x["w"].isin(list(at)))
+    own = F.slice(F.array_intersect(_strings([w for w in by_rarity if w in at]), F.col("found")), 1, rarest)
+    rare = F.filter("hits", lambda x: x["w"].isin(list(at)) & F.array_contains(own, x["w"]))
     starts = F.sort_array(F.flatten(F.transform(rare, lambda x: F.transform(postings[x["w"]], lambda p: x["p"] - p))))
-    return {f"__own_{i}": F.size(F.array_intersect("rare", _strings(sorted(at)))), f"__starts_{i}": F.when(F.exists("keys", lambda k: k["label"] == label), starts).otherwise(F.array().cast("array<bigint>"))}
+    return {f"__own_{i}": F.size(own), f"__starts_{i}": F.when(F.exists("keys", lambda k: k["label"] == label), starts).otherwise(F.array().cast("array<bigint>"))}
 
 
 def _verified(i: int, label: str, slack: int, least_share: float) -> Column:
@@ -116,8 +118,8 @@ def licence_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ra
     """One row for each row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     Document frequencies of the index words are counted over all documents (as many counts as the notices have words
-    reach the driver). Each document's `rarest` index words of highest IDF are looked up in the notices' postings; each
-    meeting votes for the place where the notice would begin, and a notice is a candidate where places within `slack`
+    reach the driver). Of each notice's index words that a document has, the `rarest` of highest IDF are looked up in its
+    postings; each meeting votes for the place where the notice would begin, and a notice is a candidate where places within `slack`
     words have votes of `least_share` of the words that could vote, two at least. It counts if its mandatory phrase
     stands at that place. score: the largest share of votes of a notice that counts, at least 0.5 with a base phrase,
     else 0. Null texts have no words; repeated rows are each returned; an empty table gives an empty result.
@@ -127,10 +129,9 @@ def licence_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ra
     counts = {r["w"]: r["n"] for r in seen.select(F.explode("found").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}
     idf = {w: -math.log1p(counts.get(w, 0)) for w in vocabulary}  # the number of documents is the same for all words
     by_rarity = sorted(vocabulary, key=lambda w: (-idf[w], w))
-    a = seen.withColumn("rare", F.slice(F.array_intersect(_strings(by_rarity), F.col("found")), 1, rarest))
-    found = []
+    a, found = seen, []
     for i, (label, (notice, _)) in enumerate(notices.items()):
-        a = a.withColumns(_votes(i, label, notice, set(vocabulary)))
+        a = a.withColumns(_votes(i, label, notice, by_rarity, rarest))
         found.append(_verified(i, label, slack, least_share))
     b = a.select("doc_id", "n_words", "base", F.filter(F.array(*found), lambda x: x["score"].isNotNull()).alias("found"))
     labels = lambda c: F.array_sort(F.array_distinct(c))

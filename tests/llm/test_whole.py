@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from deltaplane.llm import substring
+from deltaplane.llm import licenses, substring
 
 SCHEMA = "doc_id bigint, text string"
 
@@ -50,3 +50,13 @@ def test_evenly_spaced_changes(spark):
     p = words(rnd, 50)
     docs |= {100: words(rnd, 9) + p + words(rnd, 9), 101: words(rnd, 9) + [f"y{i}" if i in (4, 9, 14, 19, 24, 29, 34, 39, 45) else w for i, w in enumerate(p)] + words(rnd, 9)}
     assert set(passages(spark, docs)) == {(2 * k + 1, 2 * k) for k in range(40)} | {(101, 100)}
+
+
+def test_notices_side_by_side(spark):
+    """A notice counts though the document is full of rarer words of other notices."""
+    gpl, mit = licenses.NOTICES["gpl-notice"][0], licenses.NOTICES["mit-line"][0]
+    rare = "redistribution unencumbered foundation documentation compliance mozilla creative attribution international domain"
+    every = " . ".join(n for n, _ in licenses.NOTICES.values())
+    rows = [(1, f"{gpl} x {mit}"), (2, " x ".join(rare.split()) + " x " + mit), (3, every)] + [(i, mit) for i in range(10, 30)]
+    got = {r["doc_id"]: set(r["labels"].split(",")) for r in licenses.licence_scan(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert {"gpl-notice", "mit-line"} <= got[1] and "mit-line" in got[2] and set(licenses.NOTICES) <= got[3]
