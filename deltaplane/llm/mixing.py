@@ -77,13 +77,25 @@ def training_order(docs: DataFrame, source: str = "source", text: str = "text",
     Each source's weight schedule (weight 1 fades, 2 stays, 3 grows) is integrated; a document starts where its source's
     cumulative demand reaches the words before it.
     """
-    mixed = curriculum(docs, doc_id, text, source, carry)
+    return ordered(curriculum(docs, doc_id, text, source, carry))
+
+
+def ordered(mixed: DataFrame) -> DataFrame:
+    """The rows of training_order for those of curriculum."""
     each = mixed.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(MOST_PASSES - 1)))).withColumn("n_take", take(F.col("tape"), F.col("pass"))).where("n_take > 0")
     share = (F.col("pass") * F.col("source_size") + F.col("before")) / F.col("tape")
     placed = each.withColumn("position", demand_time(share.cast("double"), (F.col("weight") - 2) / F.lit(2.0)))
     return placed.repartitionByRange("position", F.xxhash64("doc_id", "pass")).sortWithinPartitions("position", "doc_id", "pass")
 
 
+def taken_in_order(docs: DataFrame) -> DataFrame:
+    """The rows of curriculum for columns doc_id, text and source, with taken summed over the rows of their stored training order."""
+    mixed = materialise(curriculum(docs).drop("taken").withColumn("row", F.monotonically_increasing_id()), "mixed")
+    placed = materialise(ordered(mixed).select("row", "doc_id", "pass", "position", "n_take"), "order")
+    sums = placed.groupBy("row").agg(F.sum("n_take").alias("taken"))
+    return mixed.join(sums, "row", "left").withColumn("taken", F.coalesce("taken", F.lit(0).cast("long"))).drop("row")
+
+
 def mix(docs: DataFrame, source: str = "source") -> DataFrame:
     """docs as the mix trains on them: a row for each pass, in training order, with texts cut where the tape ends.
 

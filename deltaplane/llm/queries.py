@@ -49,7 +49,11 @@ def op6_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_curriculum(spark: SparkSession, folder: str) -> DataFrame:
-    return mixing.curriculum(_documents(spark, folder)).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.taken_in_order(_documents(spark, folder)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op7_training_order(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.training_order(_documents(spark, folder)).select("doc_id", "source", "pass", "position", "n_take")
 
 
 def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
@@ -68,7 +72,7 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_token_counts, op3_language_id, op4_top_k, op5_wavelet, op6_licence_scan, op7_curriculum, op8_packing, op9_host_quality, op10_simhash)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_token_counts, op3_language_id, op4_top_k, op5_wavelet, op6_licence_scan, op7_curriculum, op7_training_order, op8_packing, op9_host_quality, op10_simhash)}
 
 
 TOP_K_SQL = """

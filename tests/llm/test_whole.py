@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from deltaplane.llm import licenses, substring
+from deltaplane.llm import licenses, queries, substring
 
 SCHEMA = "doc_id bigint, text string"
 
@@ -60,3 +60,22 @@ def test_notices_side_by_side(spark):
     rows = [(1, f"{gpl} x {mit}"), (2, " x ".join(rare.split()) + " x " + mit), (3, every)] + [(i, mit) for i in range(10, 30)]
     got = {r["doc_id"]: set(r["labels"].split(",")) for r in licenses.licence_scan(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert {"gpl-notice", "mit-line"} <= got[1] and "mit-line" in got[2] and set(licenses.NOTICES) <= got[3]
+
+
+def test_training_order_is_a_query(spark, tmp_path):
+    """op7's rows come from the training order, whose positions invert the integrated schedules."""
+    rnd = random.Random(7)
+    rows = [(i, " ".join(words(rnd, rnd.randrange(30))), f"s{i % 4}" if i % 9 else None) for i in range(90)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    taken = {r["doc_id"]: r["taken"] for r in queries.queries()["op7_curriculum"](spark, str(tmp_path)).collect()}
+    placed = queries.queries()["op7_training_order"](spark, str(tmp_path)).collect()
+    sums = dict.fromkeys(range(90), 0)
+    for r in placed:
+        sums[r["doc_id"]] += r["n_take"]
+    assert taken == sums and [r["position"] for r in placed] == sorted(r["position"] for r in placed)
+    for k, source in enumerate(["s0", "s1", "s2", "s3", None]):
+        own = [r for r in placed if r["source"] == source]
+        tape, slope, before = sum(r["n_take"] for r in own), (k % 3 + 1 - 2) / 2, 0
+        for r in own:
+            assert abs((1 - slope) * r["position"] + slope * r["position"] ** 2 - before / tape) < 1e-9
+            before += r["n_take"]
