@@ -1,4 +1,4 @@
-"""Token ids of whole texts by the tokenizers library, each distinct chunk of a batch encoded once."""
+"""Token ids of whole texts by the tokenizers library, each distinct chunk of a batch looked up once."""
 
 from __future__ import annotations
 
@@ -12,16 +12,37 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+#: Classes of bytes: letters, digits, ASCII white space, other printable ASCII, the apostrophe, anything else.
+LETTER, DIGIT, BLANK, MARK, QUOTE, OTHER = range(6)
+CLASS = np.full(256, OTHER, np.uint8)
+CLASS[33:127] = MARK
+CLASS[48:58], CLASS[65:91], CLASS[97:123], CLASS[39] = DIGIT, LETTER, LETTER, QUOTE
+CLASS[[32, 9, 10, 11, 12, 13]] = BLANK
+#: White space beyond ASCII, and control characters that some rules call white space.
+ODD_BLANKS = r"[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def _cuts(digits: bool) -> np.ndarray:
+    """Whether the rules always cut between a byte of one class and the next: [before, behind]; digits: between any two."""
+    out = np.zeros((6, 6), bool)
+    for a in (LETTER, DIGIT, MARK, QUOTE):
+        for b in (LETTER, DIGIT, MARK, QUOTE):
+            # Marks and apostrophes stay together; an apostrophe may open a contraction.
+            out[a, b] = a != b and not {a, b} <= {MARK, QUOTE} and (a, b) != (QUOTE, LETTER)
+    out[DIGIT, DIGIT] = digits
+    return out
+
 
 class Encoder:
     """Ids as Tokenizer.encode(text, add_special_tokens=False) gives them.
 
-    A text is cut where the tokenizer's own rules always cut: at blanks, if its pieces never hold one, else before a
-    single space between other characters. Chunks and the pieces in them are remembered, up to `most` chunks; then the
-    memory starts anew. Normaliser, pre-tokenizer and model are the library's.
+    The texts of a batch are cut, all at once, where the tokenizer's own rules always cut: between ASCII letters, digits
+    and marks, and at runs of ASCII white space. Each distinct chunk is looked up once for a batch; those not known go
+    to the library, whose normaliser, pre-tokenizer and model make the ids. Texts with a special token in them, or with
+    white space beyond ASCII, stay whole. Known chunks are kept up to about `most` bytes; then the memory starts anew.
     """
 
-    def __init__(self, path: str, most: int = 700_000, longest: int = 48):
+    def __init__(self, path: str, most: int = 1 << 26, longest: int = 64):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -32,132 +53,148 @@ class Encoder:
             rules = json.load(f)
         self.specials = [t["content"] for t in rules["added_tokens"]]
         kinds = {x.get("type") for x in (rules["pre_tokenizer"] or {}).get("pretokenizers", [])}
-        #: The pre-tokenizer drops white space.
+        #: The rules drop white space and case, and part digits.
         self.drops = "Split" in kinds and bool(rules["normalizer"])
         if not self.drops and (rules["normalizer"] or (rules["pre_tokenizer"] or {}).get("type") != "ByteLevel"):
             raise ValueError(f"no cutting rule for the tokenizer in {path}")
+        self.cuts = _cuts(self.drops).ravel()
         self.most, self.longest, self.model = most, longest, self.tokenizer.model
         #: The byte alphabet: printable bytes stand for themselves, the others for characters from 256 on.
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.alphabet = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in printable)}
-        self.space = self.alphabet[32]
-        self.marks = frozenset(".,;:!?")
-        self.pieces: dict[str, tuple[int, ...]] = {}
         self._clear()
 
     def _clear(self) -> None:
-        self.first: dict[str, int] = {}
-        self.rest: dict[str, int] = self.first if self.drops else {}
-        self.flat, self.starts = array("I"), array("q", [0])
-
-    def _piece(self, piece: str) -> tuple[int, ...]:
-        """Of a pre-tokenised piece in the byte alphabet."""
-        known = self.pieces.get(piece)
-        if known is None:
-            known = tuple([x.id for x in self.model.tokenize(piece)])
-            if len(piece) <= self.longest:
-                if len(self.pieces) >= self.most // 2:
-                    self.pieces.clear()
-                self.pieces[piece] = known
-        return known
-
-    def ids(self, chunk: str, lead: str = "") -> list[int] | tuple[int, ...]:
-        """Of a chunk that stands by itself behind `lead`."""
-        # Letters, perhaps with a mark behind them, are a piece each in any of the rules.
-        word, mark = (chunk[:-1], chunk[-1]) if chunk[-1:] in self.marks else (chunk, "")
-        if word.isalpha():
-            plain = word.isascii()
-            if self.drops:
-                # The library lower-cases by character, so a final sigma is like any other.
-                word = word.lower() if plain or "Σ" not in word and unicodedata.is_normalized("NFC", word) else self.tokenizer.normalizer.normalize_str(word)
-            if not self.drops or word.isalpha():
-                piece = (self.space if lead else "") + (word if plain else word.encode().decode("latin-1").translate(self.alphabet))
-                own = self.pieces.get(piece) or self._piece(piece)
-                return own + self._piece(mark) if mark else own
-        chunk = lead + chunk
-        if any(s in chunk for s in self.specials):
-            return self.tokenizer.encode(chunk, add_special_tokens=False).ids
+        self.known: dict[str, int] = {}
+        self.flat, self.starts, self.held = array("I"), array("q", [0]), 0
+
+    def _special(self, text: str) -> bool:
+        return any(s in text for s in self.specials)
+
+    def ids(self, chunk: str) -> list[int]:
+        """Of any chunk that stands by itself."""
         t, out = self.tokenizer, []
+        if self._special(chunk):
+            return t.encode(chunk, add_special_tokens=False).ids
+        lead, word = (" ", chunk[1:]) if chunk[:1] == " " else ("", chunk)
+        if word.isalpha() and not (lead and self.drops) and (not self.drops or "Σ" not in word and unicodedata.is_normalized("NFC", word)):
+            # Letters are one piece in any of the rules; the library lower-cases by character, so a final sigma is like any other.
+            word = word.lower() if self.drops else word
+            if word.isalpha():
+                return [x.id for x in self.model.tokenize((lead + word).encode().decode("latin-1").translate(self.alphabet))]
         if t.normalizer is not None:
             chunk = t.normalizer.normalize_str(chunk)
         for piece, _ in t.pre_tokenizer.pre_tokenize_str(chunk):
-            out += self._piece(piece)
+            out += [x.id for x in self.model.tokenize(piece)]
         return out
 
-    def _new(self, where: dict[str, int], chunk: str, lead: str) -> int:
-        """Its number; -1: not to be cut before or after this chunk."""
-        if not self.drops and (not chunk or chunk[0].isspace() or chunk[-1].isspace()):
-            where[chunk] = -1
-            return -1
-        self.flat.extend(self.ids(chunk, lead))
-        self.starts.append(len(self.flat))
-        k = len(self.starts) - 2
-        if len(chunk) <= self.longest:
-            where[chunk] = k
-        return k
-
-    def _fill(self, out: list[int | None], parts: list[str], where: dict[str, int], lead: str) -> None:
-        """Numbers the chunks that weren't known."""
-        i, left = -1, out.count(None)
-        for _ in range(left):
-            i = out.index(None, i + 1)
-            p = parts[i]
-            k = where.get(p)  # it may have come up a moment ago
-            out[i] = self._new(where, p, lead) if k is None else k
-
-    def _numbers(self, text: str) -> list[int]:
-        if self.drops:
-            parts = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-            get, first = self.first.get, self.first
-            out = [get(p) for p in parts]
-            self._fill(out, parts, first, "")
-            return out
-        parts = text.split(" ")
-        rest, get = self.rest, self.rest.get
-        out = [get(p) for p in parts]
-        out[0] = self.first.get(parts[0])
-        if out[0] is None:
-            out[0] = self._new(self.first, parts[0], "")
-        self._fill(out, parts, rest, " ")
-        if -1 not in out:
-            return out
-        # Runs of blanks: they stay in one chunk with what stands around them.
-        chunks: list[str] = []
-        bound = False
-        for i, p in enumerate(parts):
-            odd = not p or p[0].isspace()
-            if i and (bound or odd):
-                chunks[-1] += " " + p
+    def _add(self, chunks: list[str], plain: list[bool]) -> list[int]:
+        """Numbers of new chunks; plain ones are a single piece of ASCII or white space alone."""
+        out, tokenize, flat, starts, drops = [], self.model.tokenize, self.flat, self.starts, self.drops
+        space = self.alphabet[32]
+        for chunk, simple in zip(chunks, plain, strict=True):
+            if not simple:
+                flat.extend(self.ids(chunk))
+            elif drops or chunk.isalpha():
+                flat.extend([x.id for x in tokenize(chunk)])
+            elif chunk[0] == " " and chunk[1:].isalpha():
+                flat.extend([x.id for x in tokenize(space + chunk[1:])])
             else:
-                chunks.append(" " + p if i else p)
-            bound = not p or p[-1].isspace()
-        out = []
-        for c in chunks:
-            self.flat.extend(self.ids(c))
-            self.starts.append(len(self.flat))
-            out.append(len(self.starts) - 2)
+                flat.extend([x.id for x in tokenize(chunk.translate(self.alphabet))])
+            out.append(len(starts) - 1)
+            starts.append(len(flat))
+            if len(chunk) <= self.longest:
+                self.known[chunk] = out[-1]
+                self.held += 160 + len(chunk)
         return out
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def _chunks(self, column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """All chunks of the texts, and how many each text has."""
+        n = len(column)
+        offsets = np.frombuffer(column.buffers()[1], np.int32, n + 1, 4 * column.offset).astype(np.int64)
+        data = column.buffers()[2]
+        x = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+        offsets -= offsets[0]
+        whole = pc.match_substring_regex(column, ODD_BLANKS)
+        for s in self.specials:
+            whole = pc.or_(whole, pc.match_substring(column, s))
+        whole = whole.to_numpy(zero_copy_only=False)
+        lengths = np.diff(offsets)
+        kind = CLASS[x]
+        begin = np.zeros(len(x) + 1, bool)
+        blank = kind == BLANK
+        begin[1:-1] = self.cuts[kind[:-1] * np.uint8(6) + kind[1:]]
+        texts = offsets[:-1][lengths > 0]
+        first = np.zeros(len(x) + 1, bool)
+        first[offsets] = True
+        if self.drops:
+            keep = ~blank
+            begin[1:-1] |= blank[:-1] & keep[1:]
+            begin[texts] = True
+            if whole.any():
+                inside = np.repeat(whole, lengths)
+                keep |= inside
+                begin[:-1] &= ~inside
+                begin[texts] = True
+            # A text or chunk that opens with blanks begins with its first byte that is kept.
+            lower = np.where((x >= 65) & (x <= 90), x | 32, x) if not whole.any() else np.where((x >= 65) & (x <= 90) & ~inside, x | 32, x)
+            before = np.concatenate([[0], np.cumsum(keep)])
+            x, offsets = lower[keep], before[offsets]
+            moved = np.zeros(len(x) + 1, bool)
+            moved[before[np.nonzero(begin)[0]]] = True
+            at = np.nonzero(moved[:-1])[0]
+        else:
+            after = np.concatenate([blank[1:], [True]])  # a blank or the end of all texts follows
+            after[offsets[1:][lengths > 0] - 1] = True
+            run = np.concatenate([[False], blank[:-1]]) & ~first[:-1]
+            begin[:-1] |= blank & ~run | blank & run & ~after
+            begin[1:-1] |= blank[:-1] & ~blank[1:] & (x[:-1] != 32)
+            if whole.any():
+                begin[:-1] &= ~np.repeat(whole, lengths)
+            begin[texts] = True
+            at = np.nonzero(begin[:-1])[0]
+        counts = np.diff(np.searchsorted(at, offsets))
+        bounds = np.concatenate([at, [len(x)]]).astype(np.int32)
+        return pa.StringArray.from_buffers(len(at), pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(x))), counts
+
+    def encode(self, texts: list[str | None] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one behind another (uint32) and how many each text has; for a batch of bounded size."""
-        if len(self.starts) > self.most:
+        column = pa.array(texts, pa.string()) if isinstance(texts, list) else texts.cast(pa.string())
+        if column.null_count:
+            column = column.fill_null("")
+        if self.held > self.most:
             self._clear()
-        numbers, counts = array("q"), []
-        for text in texts:
-            own = self._numbers(text) if text else []
-            numbers.extend(own)
-            counts.append(len(own))
-        starts = np.array(self.starts, np.int64)
-        flat = np.array(self.flat, np.uint32)
-        k = np.frombuffer(numbers, np.int64) if len(numbers) else np.zeros(0, np.int64)
-        lengths = starts[k + 1] - starts[k]
+        chunks, counts = self._chunks(column)
+        coded = chunks.dictionary_encode()
+        distinct = coded.dictionary
+        found = distinct.to_numpy(zero_copy_only=False).tolist()
+        number = list(map(self.known.get, found))
+        new = [i for i, k in enumerate(number) if k is None]
+        if new:
+            ends = np.frombuffer(distinct.buffers()[1], np.int32, len(distinct) + 1, 4 * distinct.offset)
+            kind = CLASS[np.frombuffer(distinct.buffers()[2], np.uint8)[ends[0] : ends[-1]]]
+            odd = np.concatenate([[0], np.cumsum(kind >= QUOTE)])
+            # A chunk that stayed whole may hold several classes; those have odd blanks or specials, so that they count as odd too.
+            plain = odd[ends[1:] - ends[0]] == odd[ends[:-1] - ends[0]]
+            if self.specials:
+                for s in self.specials:
+                    plain &= ~pc.match_substring(distinct, s).to_numpy(zero_copy_only=False)
+            for i, k in zip(new, self._add([found[i] for i in new], plain[new].tolist()), strict=True):
+                number[i] = k
+        starts = np.frombuffer(self.starts, np.int64)
+        flat = np.frombuffer(self.flat, np.uint32) if len(self.flat) else np.zeros(0, np.uint32)
+        k = np.array(number, np.int64)
+        first, size = starts[k], starts[k + 1] - starts[k]
+        at = coded.indices.to_numpy()
+        lengths = size[at]
         ends = np.cumsum(lengths)
-        ids = flat[np.repeat(starts[k] - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        ids = flat[np.repeat(first[at] - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)]
         bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
+        del starts, flat  # their buffers can't grow while they are viewed
         return ids, np.diff(bounds)
 
 
-@functools.lru_cache(maxsize=4)
+@functools.lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """One for each worker process, so that what is remembered outlives a task."""
     return Encoder(path)

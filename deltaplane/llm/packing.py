@@ -93,7 +93,7 @@ def tokenised(docs: DataFrame, tokenizer: str, end: int = 0, window: int = 1024)
 
         part, seen, coder = TaskContext.get().partitionId(), np.zeros(window + 1, np.int64), encoder(tokenizer)
         for b in text_batches(batches, "text"):
-            flat, counts = coder.encode(b.column(b.schema.get_field_index("text")).to_pylist())
+            flat, counts = coder.encode(b.column(b.schema.get_field_index("text")))
             ends = np.cumsum(counts)
             row, start, length, nth, ids = [], [], [], [], []
             for i, (to, n) in enumerate(zip(ends.tolist(), counts.tolist(), strict=True)):

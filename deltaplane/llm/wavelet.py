@@ -147,7 +147,7 @@ def write_shards(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
         for b in text_batches(batches, "text", 1 << 21):
             column = b.column(b.schema.get_field_index("doc_id"))
             schema = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("before", pa.int64()), ("n", pa.int64()), ("doc_ids", pa.list_(column.type)), ("counts", pa.list_(pa.int64())), ("file", pa.binary())])
-            flat, counts = coder.encode(b.column(b.schema.get_field_index("text")).to_pylist())
+            flat, counts = coder.encode(b.column(b.schema.get_field_index("text")))
             ends = np.cumsum(counts)
             ids = np.insert(flat, ends, np.uint32(end))
             bounds = np.concatenate([[0], ends + np.arange(1, len(ends) + 1)])
