@@ -23,10 +23,16 @@ def fast_uniform(seed: int, *keys: Column) -> Column:
 
 def poisson(uniform: Column) -> Column:
     """A Poisson(1) count from a uniform number: how many values of the distribution function it has passed."""
-    out = F.lit(0)
-    for p in POISSON_CDF:
-        out = out + F.when(uniform >= p, 1).otherwise(0)
-    return out
+    out = F.when(uniform < POISSON_CDF[0], 0)
+    for k, p in enumerate(POISSON_CDF[1:], 1):
+        out = out.when(uniform < p, k)
+    return out.otherwise(len(POISSON_CDF))
+
+
+def normal(seed: int, *keys: Column) -> Column:
+    """A standard normal number, from two uniform ones."""
+    u, v = fast_uniform(seed, F.lit("radius"), *keys), fast_uniform(seed, F.lit("angle"), *keys)
+    return F.sqrt(-2 * F.log(u + F.lit(0.5 / (1 << 52)))) * F.cos(F.lit(2 * math.pi) * v)
 
 
 def fold(folds: int, seed: int, *keys: Column) -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import bisect
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,8 +51,3 @@ def quantile_buckets(df: DataFrame, score: str, buckets: int = 30, name: str = "
     inner = splits(df, [score], buckets, accuracy)[score]
     out = df.withColumn(name, bucket_of(F.col(score).cast("double"), inner))
     return out.where(F.col(name).isNotNull()), inner
-
-
-def bucket_number(value: float, inner: list[float]) -> int:
-    """bucket_of for one value."""
-    return bisect.bisect_right(inner, value)

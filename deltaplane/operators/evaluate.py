@@ -68,12 +68,12 @@ def ratios(metric: str) -> dict[str, Column]:
     return {"iroi": F.try_divide(benefit, cost), "incremental_benefit": benefit, "incremental_cost": cost}
 
 
-def evaluate(df: DataFrame, e: Experiment, metric: str, bucket: str | None = None, cumulative: bool = False, bootstrap: Bootstrap | None = None, main_only: bool = False, scaled: bool = False) -> DataFrame:
+def evaluate(df: DataFrame, e: Experiment, metric: str, bucket: str | None = None, cumulative: bool = False, bootstrap: Bootstrap | None = None, main_only: bool = False, scaled: bool = False, details: bool = False) -> DataFrame:
     """The metric of all rows or of each bucket: [bucket, count, fraction,] its columns; with a bootstrap also
     `_lower`, `_upper` and `_std_error` of each.
 
-    cumulative: of the bucket and all higher ones. scaled: the metric times the fraction. Null outcomes count as 0 in
-    sums and as rows in counts. Rows of other arms count in count and fraction only. Draws depend on the key alone.
+    cumulative: of the bucket and all higher ones. scaled: the metric times the fraction. details: all columns of the
+    metric by bucket too, and for iroi the flag `negative_cost`. Null outcomes count as 0 in sums and as rows in counts. Rows of other arms count in count and fraction only. Draws depend on the key alone.
     """
     e.check(df, *(("treatment",) if metric in ("ate", "iroi") else ()), *({"ate": ("outcome",), "target_rate": ("outcome",)}.get(metric, ("benefit", "cost"))))
     keys = ["__bucket"] if bucket else []
@@ -88,7 +88,9 @@ def evaluate(df: DataFrame, e: Experiment, metric: str, bucket: str | None = Non
             raise ValueError("a bootstrap needs the key of the units")
         rows = rows.withColumn("__draw", F.explode(F.sequence(F.lit(0), F.lit(bootstrap.draws - 1))))
         uniform = portable_uniform(F.concat_ws("|", *[F.col("__key")[c].cast("string") for c in e.key]), F.col("__draw")) if bootstrap.portable else fast_uniform(bootstrap.seed, F.col("__key"), F.col("__draw"))
-        weight = F.when(F.col("__draw") == 0, 1).otherwise(poisson(uniform))
+        # Columns of their own: within the sums the hash would be taken anew for each of them.
+        rows = rows.withColumn("__u", uniform).drop("__key").withColumn("__w", F.when(F.col("__draw") == 0, 1).otherwise(poisson(F.col("__u")))).drop("__u")
+        weight = F.col("__w")
         keys.append("__draw")
     sums = statistics(rows, e, metric, keys, weight)
     # From here on there are as many rows as buckets and draws.
@@ -98,14 +100,15 @@ def evaluate(df: DataFrame, e: Experiment, metric: str, bucket: str | None = Non
         if cumulative:
             up = whole.orderBy(F.col("__bucket").desc()).rowsBetween(Window.unboundedPreceding, 0)
             sums = sums.withColumns({c: F.sum(c).over(up) for c in sums.columns if c not in ("__bucket", "__draw")})
-    columns = dict(list(ratios(metric).items())[: 1 if main_only or bucket else None])
+    columns = dict(list(ratios(metric).items())[: 1 if main_only or bucket and not details else None])
     if scaled:
         columns = {c: x * F.col("__f") for c, x in columns.items()}
     points = sums.select(*([F.col("__bucket"), F.col("__n"), F.col("__f")] if bucket else []), *([F.col("__draw")] if bootstrap else []), *[x.alias(c) for c, x in columns.items()])
     shown = [F.col("__bucket").alias("bucket"), F.col("__n").alias("count"), F.col("__f").alias("fraction")] if bucket else []
+    flag = [(F.col("incremental_cost") < 0).alias("negative_cost")] if details and "incremental_cost" in columns else []
     if not bootstrap:
-        return points.select(*shown, *columns)
-    return interval(points, list(columns), ["__bucket"] if bucket else [], bootstrap, ["__n", "__f"] if bucket else []).select(*shown, *[c + s for c in columns for s in ("", "_lower", "_upper", "_std_error")])
+        return points.select(*shown, *columns, *flag)
+    return interval(points, list(columns), ["__bucket"] if bucket else [], bootstrap, ["__n", "__f"] if bucket else []).select(*shown, *[c + s for c in columns for s in ("", "_lower", "_upper", "_std_error")], *flag)
 
 
 def interval(points: DataFrame, columns: list[str], by: list[str], b: Bootstrap, carried: list[str]) -> DataFrame:
@@ -121,11 +124,11 @@ def interval(points: DataFrame, columns: list[str], by: list[str], b: Bootstrap,
     return with_sample.groupBy(*by).agg(*[F.max(F.when(own, F.col(c))).alias(c) for c in carried], *out)
 
 
-def _bucketed(df: DataFrame, e: Experiment, metric: str, name: str, bootstrap: Bootstrap | None, buckets: int | None, labels: bool, accuracy: int = 1_000_000) -> DataFrame:
+def _bucketed(df: DataFrame, e: Experiment, metric: str, name: str, bootstrap: Bootstrap | None, buckets: int | None, labels: bool, accuracy: int = 1_000_000, details: bool = False) -> DataFrame:
     inner: list[float] = []
     if buckets:
         df, inner = quantile_buckets(df, e.score, buckets, "__quantile", accuracy)
-    out = evaluate(df, e, metric, "__quantile" if buckets else e.bucket, bootstrap=bootstrap)
+    out = evaluate(df, e, metric, "__quantile" if buckets else e.bucket, bootstrap=bootstrap, details=details)
     main = next(iter(ratios(metric)))
     out = out.select(*[F.col(c).alias(c.replace(main, name, 1) if c.startswith(main) else c) for c in out.columns]).orderBy(F.desc("bucket"))
     return out.withColumn("bucket", label_of(F.col("bucket"), inner)) if buckets and labels else out
@@ -146,14 +149,15 @@ def cate(df: DataFrame, e: Experiment, quantiles: int | None = None, labels: boo
     return _bucketed(df, e, "ate", "cate", bootstrap, quantiles, labels)
 
 
-def iroi(df: DataFrame, e: Experiment, quantiles: int | None = None, per_bucket: bool = False, labels: bool = False, bootstrap: Bootstrap | None = None) -> DataFrame:
+def iroi(df: DataFrame, e: Experiment, quantiles: int | None = None, per_bucket: bool = False, labels: bool = False, bootstrap: Bootstrap | None = None, details: bool = False) -> DataFrame:
     """Incremental return on investment: of all rows (one row), of each bucket, or of each quantile of the score.
 
-    A negative incremental cost is reported as it is: incremental_cost shows it, no sign is changed.
+    A negative incremental cost is reported as it is, no sign is changed; `details` adds incremental benefit and cost
+    to buckets, and the flag `negative_cost` (null where there is no cost).
     """
     if quantiles or per_bucket:
-        return _bucketed(df, e, "iroi", "iroi", bootstrap, quantiles, labels)
-    return evaluate(df, e, "iroi", bootstrap=bootstrap)
+        return _bucketed(df, e, "iroi", "iroi", bootstrap, quantiles, labels, details=details)
+    return evaluate(df, e, "iroi", bootstrap=bootstrap, details=details)
 
 
 def roi(df: DataFrame, e: Experiment, bootstrap: Bootstrap | None = None) -> DataFrame:
@@ -179,10 +183,10 @@ def qini(df: DataFrame, e: Experiment, buckets: int = 30, bootstrap: Bootstrap |
     return zero.unionByName(out).orderBy("fraction")
 
 
-def cum_iroi(df: DataFrame, e: Experiment, buckets: int = 30, bootstrap: Bootstrap | None = None) -> DataFrame:
-    """Cumulative incremental return from the highest scores down: bucket, count, fraction, threshold, iroi."""
+def cum_iroi(df: DataFrame, e: Experiment, buckets: int = 30, bootstrap: Bootstrap | None = None, details: bool = False) -> DataFrame:
+    """Cumulative incremental return from the highest scores down: bucket, count, fraction, threshold, iroi; details: see iroi."""
     rows, inner = quantile_buckets(df, e.score, buckets, "__quantile")
-    out = evaluate(rows, e, "iroi", "__quantile", cumulative=True, bootstrap=bootstrap)
+    out = evaluate(rows, e, "iroi", "__quantile", cumulative=True, bootstrap=bootstrap, details=details)
     out = out.withColumn("threshold", threshold_of(F.col("bucket"), inner))
     named = [c for c in out.columns if c not in ("bucket", "count", "fraction", "threshold")]
     return out.select("bucket", "count", "fraction", "threshold", *named).orderBy(F.desc("bucket"))

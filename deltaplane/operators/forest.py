@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from deltaplane.functions.draws import fast_uniform
+from deltaplane.functions.storage import stored
 from deltaplane.operators.buckets import bucket_of, splits
-from deltaplane.operators.evaluate import qini, qini_coefficient
+from deltaplane.operators.evaluate import auuc, cate_lift, qini, qini_coefficient
 from deltaplane.operators.roles import Experiment
 
 
@@ -28,6 +28,16 @@ def rate_divergence(p: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
     raise ValueError(f"metric must be kl, euclidean or chi_squared, not {metric!r}")
 
 
+def divergence_column(p: Column, q: Column, metric: str) -> Column:
+    """rate_divergence of columns."""
+    if metric == "kl":
+        p, q = (F.least(F.greatest(x, F.lit(1e-6)), F.lit(1 - 1e-6)) for x in (p, q))
+        return p * F.log(p / q) + (1 - p) * F.log((1 - p) / (1 - q))
+    if metric == "euclidean":
+        return 2 * (p - q) * (p - q)
+    return (p - q) * (p - q) / F.greatest(q, F.lit(1e-6)) + (p - q) * (p - q) / F.greatest(1 - q, F.lit(1e-6))
+
+
 @dataclass
 class Tree:
     """Nodes as arrays: the feature and last bin of the left child (feature -1: a leaf), first child, uplift."""
@@ -57,15 +67,20 @@ class UpliftForest:
     metric: str = "kl"
     seed: int = 0
     output: str = "uplift"
+    #: Bins at the root, halved with each level down to `bins`; none: `bins` at all levels.
+    top_bins: int | None = None
+    #: Constant features are no candidates; else they take part in the draws and never split.
+    ignore_constant: bool = True
 
     def fit(self, df: DataFrame) -> ForestModel:
-        """One aggregate for each level: as many histogram cells as nodes x features x bins x 4 reach the driver."""
+        """A few aggregates for each level; the best split of each node is found on the executors, and one row a node
+        reaches the driver, whatever the features and bins."""
         e = self.e
         if not e.key:
             raise ValueError("a forest needs the key of the units")
         rate_divergence(np.zeros(1), np.zeros(1), self.metric)
         features = list(e.features)
-        inner = splits(df, features, self.bins)
+        inner = splits(df, features, max(self.bins, self.top_bins or 0), 10_000)
         arms = e.arms(df).where(F.col(e.outcome).isNotNull())
         if not arms.where(~F.col(e.outcome).isin(0, 1)).isEmpty():
             raise ValueError(f"a forest needs outcomes 0 and 1; {e.outcome!r} has others")
@@ -73,60 +88,73 @@ class UpliftForest:
         binned = rows.select(F.when(e.is_treated, 1).otherwise(0).alias("t"), F.col(e.outcome).cast("int").alias("y"), F.array(*[F.coalesce(bucket_of(F.col(f).cast("double"), inner[f]), F.lit(-1.0)).cast("int") for f in features]).alias("x"), F.explode(F.sequence(F.lit(0), F.lit(self.trees - 1))).alias("tree"), F.struct(*e.key).alias("key"))
         rate = F.when(F.col("t") == 1, self.arm_rates[1]).otherwise(self.arm_rates[0]) if self.arm_rates else F.lit(self.sample_rate)
         sample = binned.where(fast_uniform(self.seed, F.col("key"), F.col("tree")) < rate).drop("key").persist()
+        candidates = [i for i, f in enumerate(features) if inner[f] or not self.ignore_constant]
         try:
-            trees = self._grow(sample, len(features))
+            trees = self._grow(sample, candidates)
         finally:
             sample.unpersist()
         return ForestModel(self, inner, trees)
 
-    def _grow(self, sample: DataFrame, features: int) -> list[Tree]:
+    def _grow(self, sample: DataFrame, candidates: list[int]) -> list[Tree]:
         trees = [Tree([-1], [0], [0], [0.0]) for _ in range(self.trees)]
-        open_nodes = {(k, 0) for k in range(self.trees)}
+        level = [0] * self.trees  # the first node of the level in each tree; leaves above are settled
         for depth in range(self.max_depth + 1):
             node = _node_udf(trees)(F.col("tree"), F.col("x")) if depth else F.lit(0)
-            at = sample.withColumn("node", node).where(F.col("node") >= 0) if depth else sample.withColumn("node", node)
-            cells = at.select("tree", "node", "t", "y", F.posexplode("x").alias("f", "b")).groupBy("tree", "node", "f", "b", "t", "y").agg(F.count(F.lit(1)).alias("n")).toPandas()
-            after = set()
-            for (k, n), own in cells.groupby(["tree", "node"]):
-                if (k, n) in open_nodes:
-                    after |= self._split(trees[k], int(k), int(n), own, features, depth)
-            open_nodes = after
-            if not open_nodes:
+            at = sample.withColumn("node", node).where(F.col("node") >= F.element_at(F.array(*map(F.lit, level)), F.col("tree") + 1))
+            found = self._best_splits(at, candidates, depth).collect()
+            level = [len(t.feature) for t in trees]
+            any_split = False
+            for r in sorted(found, key=lambda r: (r["tree"], r["node"])):
+                tree, n = trees[r["tree"]], r["node"]
+                tree.uplift[n] = r["uplift"]
+                if r["best"] is None:
+                    continue
+                any_split = True
+                tree.feature[n], tree.bin[n], tree.child[n] = -r["best"]["f"], -r["best"]["b"], len(tree.feature)
+                for _ in range(2):
+                    tree.feature.append(-1)
+                    tree.bin.append(0)
+                    tree.child.append(0)
+                    tree.uplift.append(tree.uplift[n])
+            if not any_split:
                 break
         return trees
 
-    def _split(self, tree: Tree, k: int, n: int, own: pd.DataFrame, features: int, depth: int) -> set[tuple[int, int]]:
-        counts = np.zeros((features, self.bins + 2, 2, 2))
-        np.add.at(counts, (own["f"].to_numpy(), own["b"].to_numpy() + 1, own["t"].to_numpy(), own["y"].to_numpy()), own["n"].to_numpy())
-        whole = counts[0].sum(0)
-        rate = lambda c: np.divide(c[..., 1], c.sum(-1), out=np.zeros(c.shape[:-1]), where=c.sum(-1) > 0)
-        p = rate(whole)
-        tree.uplift[n] = float(p[1] - p[0])
-        if depth == self.max_depth:
-            return set()
-        left = counts.cumsum(1)
-        right = whole - left
-        size_l, size_r = left.sum((2, 3)), right.sum((2, 3))
-        pl, pr = rate(left), rate(right)
-        gain = (size_l * rate_divergence(pl[..., 1], pl[..., 0], self.metric) + size_r * rate_divergence(pr[..., 1], pr[..., 0], self.metric)) / whole.sum() - rate_divergence(p[1:2], p[0:1], self.metric)
-        good = (left.sum(3).min(2) >= self.min_rows) & (right.sum(3).min(2) >= self.min_rows)
-        draw = lambda *x: zlib.crc32(":".join(map(str, (self.seed, k, *x))).encode()) / 2**32
-        chosen = [f for f in range(features) if draw(n, f) < self.feature_rate and draw("tree", f) < self.tree_feature_rate]
+    def _best_splits(self, at: DataFrame, candidates: list[int], depth: int) -> DataFrame:
+        """tree, node, uplift and best (gain, -f, -b; null: no split) of each open node."""
+        sums = lambda c: F.coalesce(F.sum(F.when(c, F.lit(1).cast("long"))), F.lit(0).cast("long"))
+        cell = {f"n{t}{y}": (F.col("t") == t) & (F.col("y") == y) for t in (0, 1) for y in (0, 1)}
+        rate = lambda one, zero: F.coalesce(F.try_divide(one.cast("double"), one + zero), F.lit(0.0))
+        totals = at.groupBy("tree", "node").agg(*[sums(c).alias("w" + k[1:]) for k, c in cell.items()])
+        p1, p0 = rate(F.col("w11"), F.col("w10")), rate(F.col("w01"), F.col("w00"))
+        nodes = totals.select("tree", "node", (p1 - p0).alias("uplift"))
+        if depth == self.max_depth or not candidates:
+            return nodes.withColumn("best", F.lit(None).cast("struct<gain:double,f:int,b:int>"))
+        draw = lambda *x: F.crc32(F.concat_ws(":", F.lit(str(self.seed)), *[c.cast("string") for c in x]).cast("binary")) / F.lit(2.0**32)
+        pairs = at.select("tree", "node", "t", "y", F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.get("x", F.lit(f)).alias("b")) for f in candidates])).alias("c")).select("tree", "node", "t", "y", "c.f", "c.b")
+        if self.feature_rate < 1:
+            pairs = pairs.where(draw(F.col("tree"), F.col("node"), F.col("f")) < self.feature_rate)
+        if self.tree_feature_rate < 1:
+            pairs = pairs.where(draw(F.col("tree"), F.lit("tree"), F.col("f")) < self.tree_feature_rate)
+        cells = pairs.groupBy("tree", "node", "f", "b").agg(*[sums(c).alias(k) for k, c in cell.items()])
         if self.features_per_split:
-            chosen = sorted(chosen, key=lambda f: draw(n, "try", f))[: self.features_per_split]
-        good &= np.isin(np.arange(features), chosen)[:, None]
-        gain = np.where(good, gain, -np.inf)
-        f, b = np.unravel_index(int(gain.argmax()), gain.shape)
-        if not gain[f, b] > 1e-12:
-            return set()
-        first = len(tree.feature)
-        tree.feature[n], tree.bin[n], tree.child[n] = int(f), int(b) - 1, first
-        for _ in range(2):
-            tree.feature.append(-1)
-            tree.bin.append(0)
-            tree.child.append(0)
-            tree.uplift.append(tree.uplift[n])
-        return {(k, first), (k, first + 1)}
+            tried = draw(F.col("tree"), F.col("node"), F.lit("try"), F.col("f"))
+            order = F.dense_rank().over(Window.partitionBy("tree", "node").orderBy(tried, "f"))
+            cells = cells.withColumn("__order", order).where(F.col("__order") <= self.features_per_split).drop("__order")
+        step = 1
+        if self.top_bins and self.top_bins > self.bins:
+            step = min(2**depth, -(-self.top_bins // self.bins))
+        of, up = Window.partitionBy("tree", "node", "f"), Window.partitionBy("tree", "node", "f").orderBy("b")
+        both = cells.select("tree", "node", "f", "b", *[F.sum(k).over(up).alias("l" + k[1:]) for k in cell], *[F.sum(k).over(of).alias("w" + k[1:]) for k in cell])
+        left = {k: F.col("l" + k) for k in ("00", "01", "10", "11")}
+        right = {k: F.col("w" + k) - F.col("l" + k) for k in left}
+        gain_of = lambda c: sum(c.values(), F.lit(0)) * divergence_column(rate(c["11"], c["10"]), rate(c["01"], c["00"]), self.metric)
+        whole = {k: F.col("w" + k) for k in left}
+        gain = (gain_of(left) + gain_of(right)) / sum(whole.values(), F.lit(0)) - divergence_column(rate(whole["11"], whole["10"]), rate(whole["01"], whole["00"]), self.metric)
+        sizes = [c[a + "0"] + c[a + "1"] for c in (left, right) for a in "01"]
+        good = (F.least(*sizes) >= self.min_rows) & (F.pmod(F.col("b") + 1, F.lit(step)) == 0)
+        best = both.where(good).select("tree", "node", F.struct(gain.alias("gain"), (-F.col("f")).alias("f"), (-F.col("b")).alias("b")).alias("s")).where("s.gain > 1e-12").groupBy("tree", "node").agg(F.max("s").alias("best"))
+        return nodes.join(best, ["tree", "node"], "left")
 
 
 def _walk(tree: Tree, x: np.ndarray) -> np.ndarray:
@@ -159,6 +187,10 @@ class ForestModel:
 
     def predict(self, df: DataFrame) -> DataFrame:
         """df with the trees' mean uplift."""
+        return df.withColumn(self.forest.output, self.score({f: F.col(f) for f in self.forest.e.features}))
+
+    def score(self, values: dict[str, Column]) -> Column:
+        """The trees' mean uplift for given values of the features."""
         trees = self.trees
 
         @F.pandas_udf("double")
@@ -166,19 +198,35 @@ class ForestModel:
             bins = np.stack(x.to_numpy()) if len(x) else np.zeros((0, 1), int)
             return pd.Series(sum(np.array(t.uplift)[_walk(t, bins)] for t in trees) / len(trees))
 
-        x = F.array(*[F.coalesce(bucket_of(F.col(f).cast("double"), self.inner[f]), F.lit(-1.0)).cast("int") for f in self.forest.e.features])
-        return df.withColumn(self.forest.output, score(x))
+        return score(F.array(*[F.coalesce(bucket_of(values[f].cast("double"), self.inner[f]), F.lit(-1.0)).cast("int") for f in self.forest.e.features]))
+
+    def auuc(self, df: DataFrame, kind: str = "qini", bins: int = 30) -> float:
+        """Area under the uplift curve of df with so many bins: `qini` (effect times share), `lift` (effect) or `gain`
+        (effect times treated and control rows, per row: as qini, but in rows)."""
+        scored = self.forest.e.with_(score=self.forest.output)
+        rows = self.predict(df)
+        if kind == "lift":
+            return auuc(cate_lift(rows, scored, bins), y="cum_cate").first()[0]
+        if kind not in ("qini", "gain"):
+            raise ValueError(f"kind must be qini, lift or gain, not {kind!r}")
+        curve = qini(rows, scored, bins)
+        if kind == "gain":
+            curve = curve.withColumn("ate", F.col("ate") * F.lit(curve.agg(F.max("count")).first()[0] or 0))
+        return auuc(curve).first()[0]
 
 
-def shuffled(df: DataFrame, column: str, key: Column, seed: int) -> DataFrame:
-    """df with the column's values moved between rows: the row of key rank r gets the value of hash rank r.
+def shuffled(df: DataFrame, column: str | list[str], key: Column, seed: int) -> DataFrame:
+    """df with the values of the column, or of several together, moved between rows: the row of key rank r gets those of
+    hash rank r.
 
-    Ranks are counted in range partitions, so no task holds all rows.
+    Ranks are counted in range partitions of stored frames, so no task holds all rows and a lost executor moves none.
     """
+    names = [column] if isinstance(column, str) else list(column)
 
-    def ranked(frame: DataFrame, by: Column) -> DataFrame:
+    def ranked(frame: DataFrame, *by: Column) -> DataFrame:
         # The id holds partition and place; only a count for each partition reaches the driver.
-        at = frame.withColumn("__by", by).repartitionByRange("__by").sortWithinPartitions("__by").drop("__by").withColumn("__id", F.monotonically_increasing_id()).persist()
+        order = {f"__by{i}": c for i, c in enumerate(by)}
+        at = stored(frame.withColumns(order).repartitionByRange(*order).sortWithinPartitions(*order).drop(*order).withColumn("__id", F.monotonically_increasing_id()))
         part, place = F.shiftright("__id", 33), F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
         before, offsets = 0, {}
         for r in sorted(at.groupBy(part.alias("p")).count().collect()):
@@ -186,23 +234,34 @@ def shuffled(df: DataFrame, column: str, key: Column, seed: int) -> DataFrame:
         table = F.create_map(*[F.lit(x) for pair in offsets.items() for x in pair]) if offsets else F.create_map(F.lit(0), F.lit(0))
         return at.withColumn("__rank", table[part] + place).drop("__id")
 
-    values = ranked(df.select(F.col(column).alias("__value"), key.alias("__k")), F.xxhash64(F.lit(seed), "__k")).drop("__k")
-    return ranked(df, key).join(values, "__rank").withColumn(column, F.col("__value")).drop("__rank", "__value")
+    moved = [f"__value{i}" for i in range(len(names))]
+    values = ranked(df.select(*[F.col(c).alias(v) for c, v in zip(names, moved, strict=True)], key.alias("__k")), F.xxhash64(F.lit(seed), "__k"), F.col("__k")).drop("__k")
+    return ranked(df, key).join(values, "__rank").withColumns({c: F.col(v) for c, v in zip(names, moved, strict=True)}).drop("__rank", *moved)
 
 
 def permutation_importance(df: DataFrame, forest: UpliftForest, repeats: int = 3, buckets: int = 30, samples: int | None = None) -> DataFrame:
     """feature, score: what the Qini coefficient of the forest loses when the feature is shuffled; the mean of repeats.
 
-    The forest is fitted on all rows; samples: it is measured on so many of them, chosen by a hash of the key.
+    The forest is fitted on all rows; samples: it is measured on so many of them, chosen by a hash of the key. A repeat
+    moves all features in one pass; each is then put in the place of the row's own, and the scores are stored.
     """
     e, model = forest.e, forest.fit(df)
     if samples is not None:
         df = df.orderBy(F.xxhash64(F.lit(forest.seed), *e.key), *e.key).limit(samples)
-    scored = e.with_(score=forest.output)
-    area = lambda frame: qini_coefficient(qini(model.predict(frame), scored, buckets)).first()[0]
-    base, rows = area(df), []
-    for f in e.features:
-        lost = [base - area(shuffled(df, f, F.struct(*e.key), forest.seed + 1 + r)) for r in range(repeats)]
-        rows.append((f, float(np.mean(lost))))
+    roles = list(dict.fromkeys([*e.key, e.treatment, e.outcome]))
+    own = {f: f"__own{i}" for i, f in enumerate(e.features)}
+    narrow = df.select(*[c for c in roles if c not in e.features], *e.features)
+    area = lambda frame, score: qini_coefficient(qini(frame, e.with_(score=score), buckets)).first()[0]
+    base = area(model.predict(narrow), forest.output)
+    lost: dict[str, list[float]] = {f: [] for f in e.features}
+    for r in range(repeats):
+        both = shuffled(narrow.withColumns({own[f]: F.col(f) for f in e.features}), list(e.features), F.struct(*e.key), forest.seed + 1 + r)
+        scored, names = both, {}
+        for i, f in enumerate(e.features):
+            names[f] = f"__score{i}"
+            scored = scored.withColumn(names[f], model.score({g: F.col(g if g == f else own[g]) for g in e.features}))
+        scored = stored(scored.select(*[c for c in roles if c not in e.features], *names.values()))
+        for f in e.features:
+            lost[f].append(base - area(scored, names[f]))
+    rows = [(f, float(np.mean(x))) for f, x in lost.items()]
     return df.sparkSession.createDataFrame(rows, "feature string, score double").orderBy(F.desc("score"))
-

@@ -212,8 +212,12 @@ class Retrospective(Learner):
 
     positive: float = 1.0
 
+    def positives(self, df: DataFrame, validation: DataFrame | None = None) -> DataFrame:
+        """The rows that it learns from."""
+        return self.rows(df, validation).where(F.col(self.e.outcome) == self.positive)
+
     def fit(self, df: DataFrame, validation: DataFrame | None = None) -> Fitted:
-        return Fitted(self, (self.base.fit(self.rows(df, validation).where(F.col(self.e.outcome) == self.positive), F.col("__t")),))
+        return Fitted(self, (self.base.fit(self.positives(df, validation), F.col("__t")),))
 
     def score(self, df: DataFrame, parts: tuple) -> DataFrame:
         return self.finish(df, applied(parts[0], assembled(df, self.e.features), "__p"), F.col("__p"))

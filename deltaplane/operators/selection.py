@@ -15,12 +15,22 @@ from deltaplane.operators.roles import Experiment
 EPSILON, NO_EVIDENCE = 1e-6, 10.0
 
 
-def discretise(df: DataFrame, features: list[str], bins: int = 10, exact: bool = False, accuracy: int = 1_000_000) -> DataFrame:
+#: The two arms in the cells, whatever their values in the frame; other arms are `other:` and their value.
+TREATED, CONTROL = "treated", "control"
+
+
+def _is_text(df: DataFrame, feature: str) -> bool:
+    return df.schema[feature].dataType.simpleString() in ("string", "date", "timestamp", "timestamp_ntz")
+
+
+def discretise(df: DataFrame, features: list[str], bins: int = 10, exact: bool = False, accuracy: int = 10_000) -> DataFrame:
     """df with each feature of more than `bins` distinct values replaced by its quantile bin; null and NaN become null.
 
-    Two passes over the frame, whatever the number of features.
+    Text features stay as they are: each value is a bin. Two passes over the frame, whatever the number of features;
+    the splits of all features meet in one task, so their accuracy bounds its memory (features x accuracy).
     """
-    if bins < 1:
+    features = [f for f in features if not _is_text(df, f)]
+    if bins < 1 or not features:
         return df
     distinct = F.count_distinct if exact else F.approx_count_distinct
     counts = df.agg(*[distinct(f).alias(str(i)) for i, f in enumerate(features)]).first()
@@ -30,13 +40,23 @@ def discretise(df: DataFrame, features: list[str], bins: int = 10, exact: bool =
 
 
 def cells(df: DataFrame, e: Experiment, features: list[str]) -> DataFrame:
-    """feature, bin, t (the arm's value as text), y (0/1), n: all features in one aggregate over the unpivoted frame."""
+    """feature, bin, t (see TREATED), y (0/1), n: all features in one aggregate over the unpivoted frame.
+
+    bin is a number, or text if any of the features is (numbers as Spark writes them).
+    """
+    e.check(df, "treatment", "outcome")
     own = df.where(F.col(e.outcome).isNotNull() & F.col(e.treatment).isNotNull())
-    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("bin")) for f in features]))
-    rows = own.select(F.col(e.treatment).cast("string").alias("t"), F.col(e.outcome).cast("int").alias("y"), pairs.alias("x"))
+    text = any(_is_text(df, f) for f in features)
+    value = {f: F.col(f).cast("string") if _is_text(df, f) else F.col(f).cast("double").cast("string" if text else "double") for f in features}
+    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), value[f].alias("bin")) for f in features]))
+    rows = own.select(_arm(e).alias("t"), F.col(e.outcome).cast("int").alias("y"), pairs.alias("x"))
     return rows.groupBy(F.col("x.feature").alias("feature"), F.col("x.bin").alias("bin"), "t", "y").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _arm(e: Experiment) -> Column:
+    return F.when(e.is_treated, TREATED).when(e.is_control, CONTROL).otherwise(F.concat(F.lit("other:"), F.col(e.treatment).cast("string")))
+
+
 def divergence(p: Column, q: Column, method: str) -> Column:
     """Distance of two outcome rates: KL, ED (Euclidean) or Chi; null if a rate is."""
     if method == "KL":
@@ -71,8 +91,8 @@ def _divergences(found: DataFrame, e: Experiment, method: str, smooth: bool, key
         n0 = F.coalesce(a["n0"], F.when(F.col("any0"), empty).otherwise(0 if smooth else None))
         return F.try_divide(n1.cast("double"), n1 + n0)
 
-    control = F.filter("arms", lambda a: a["t"] == str(e.control))
-    others = F.filter("arms", lambda a: a["t"] != str(e.control))
+    control = F.filter("arms", lambda a: a["t"] == CONTROL)
+    others = F.filter("arms", lambda a: a["t"] != CONTROL)
     total = F.aggregate(others, F.lit(0.0), lambda s, a: s + divergence(rate(a), rate(F.get(control, F.lit(0))), method))
     out = groups.withColumn("__d", F.when(F.size(control) > 0, total).otherwise(0.0))
     if name == "__all":
@@ -85,7 +105,7 @@ def _divergences(found: DataFrame, e: Experiment, method: str, smooth: bool, key
 def divergence_filter(df: DataFrame, e: Experiment, features: list[str], bins: int = 10, method: str = "KL", smooth: bool = True) -> DataFrame:
     """feature, score: the binned divergence less that of all rows, highest first."""
     found = divergence_bins(df, e, features, bins, method, smooth)
-    whole = df.where(F.col(e.outcome).isNotNull() & F.col(e.treatment).isNotNull()).groupBy(F.col(e.treatment).cast("string").alias("t"), F.col(e.outcome).cast("int").alias("y")).agg(F.count(F.lit(1)).alias("n"))
+    whole = df.where(F.col(e.outcome).isNotNull() & F.col(e.treatment).isNotNull()).groupBy(_arm(e).alias("t"), F.col(e.outcome).cast("int").alias("y")).agg(F.count(F.lit(1)).alias("n"))
     overall = _divergences(whole.withColumn("g", F.lit(0)), e, method, smooth, ["g"], "__all").select("__all")
     base = overall.first()
     return found.groupBy("feature").agg((F.sum("contribution") - F.lit(base[0] if base else None)).alias("score")).orderBy(F.desc("score"), "feature")
@@ -94,7 +114,7 @@ def divergence_filter(df: DataFrame, e: Experiment, features: list[str], bins: i
 def uplift_curve_bins(df: DataFrame, e: Experiment, features: list[str], bins: int = 10) -> DataFrame:
     """feature, bin, contribution: the bin's effect times its share of the rows; an empty arm's rate counts 0."""
     found = cells(discretise(df, features, bins), e, features)
-    t, c, y = F.col("t") == str(e.treated), F.col("t") == str(e.control), F.col("y") == 1
+    t, c, y = F.col("t") == TREATED, F.col("t") == CONTROL, F.col("y") == 1
     n = lambda x: F.coalesce(F.sum(F.when(x, F.col("n"))), F.lit(0))
     by = found.groupBy("feature", "bin").agg(n(t).alias("nt"), n(c).alias("nc"), n(t & y).alias("rt"), n(c & y).alias("rc"), F.sum("n").alias("__n"))
     whole = by.groupBy("feature").agg(F.sum("__n").alias("__size"))
@@ -111,7 +131,7 @@ def uplift_curve_filter(df: DataFrame, e: Experiment, features: list[str], bins:
 def niv_bins(df: DataFrame, e: Experiment, features: list[str], bins: int = 10) -> DataFrame:
     """feature, bin, contribution: the bin's net weight of evidence times its net share of responses."""
     found = cells(discretise(df, features, bins), e, features)
-    arm = {1: F.col("t") == str(e.treated), 0: F.col("t") == str(e.control)}
+    arm = {1: F.col("t") == TREATED, 0: F.col("t") == CONTROL}
     cell = {(r, t): arm[t] & (F.col("y") == r) for r in (0, 1) for t in (0, 1)}
     by = found.groupBy("feature", "bin").agg(*[F.coalesce(F.sum(F.when(x, F.col("n"))), F.lit(0)).alias(f"n{r}{t}") for (r, t), x in cell.items()])
     totals = by.groupBy("feature").agg(*[F.sum(f"n{r}{t}").alias(f"s{r}{t}") for r, t in cell])
@@ -145,8 +165,3 @@ def min_max(scores: DataFrame, columns: list[str]) -> DataFrame:
     """The columns scaled to [0, 1]; null where all values are equal. The bounds are one row."""
     row = scores.agg(*[f(c).alias(f"{n}{i}") for i, c in enumerate(columns) for n, f in (("a", F.min), ("b", F.max))]).first()
     return scores.select(*[F.try_divide(F.col(c) - F.lit(row[f"a{i}"]), F.lit(row[f"b{i}"]) - F.lit(row[f"a{i}"])).alias(c) for i, c in enumerate(columns)])
-
-
-def sorted_scores(scores: DataFrame, score: str = "score") -> DataFrame:
-    """Highest first."""
-    return scores.orderBy(F.desc(score), "feature")

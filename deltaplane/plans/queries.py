@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deltaplane import plots
-from deltaplane.functions.draws import POISSON_CDF, fold, poisson, portable_uniform
+from deltaplane.functions.draws import POISSON_CDF, poisson, portable_uniform
 from deltaplane.functions.features import feature_pipeline
 from deltaplane.operators import evaluate as ev
 from deltaplane.operators import learners as le
@@ -155,6 +155,10 @@ def _evaluations() -> dict[str, tuple[Query, str | None]]:
         "ate_ci": (on("orders", lambda d, e: ev.ate(d, e, BOOT)), evaluation_sql("orders", RATES, draws=DRAWS)),
         "roi_ci": (on("orders", lambda d, e: ev.roi(d, e, BOOT)), evaluation_sql("orders", {"roi": METRIC_SQL["roi"]}, draws=DRAWS)),
         "iroi_ci": (on("events", lambda d, e: ev.iroi(d, e, bootstrap=BOOT).select("iroi", "iroi_lower", "iroi_upper", "iroi_std_error")), evaluation_sql("events", i1, draws=DRAWS)),
+        "iroi_details_ci": (on("events", lambda d, e: ev.iroi(d, e, bootstrap=BOOT, details=True)), f"SELECT *, incremental_cost < 0 AS negative_cost FROM ({evaluation_sql('events', IROI, draws=DRAWS)})"),
+        "iroi_details_per_bucket": (on("events", lambda d, e: ev.iroi(d, e, per_bucket=True, details=True)), f"SELECT *, incremental_cost < 0 AS negative_cost FROM ({evaluation_sql('events', IROI, 'bucket')})"),
+        "iroi_details_per_quantile": (on("lines", lambda d, e: tidy(ev.iroi(d, e, BUCKETS, details=True), 2)), f"SELECT bucket, count, round(fraction, 2) AS fraction, round(iroi, 2) AS iroi, round(incremental_benefit, 2) AS incremental_benefit, round(incremental_cost, 2) AS incremental_cost, incremental_cost < 0 AS negative_cost FROM ({evaluation_sql('lines', IROI, q).replace(', 6) AS i', ', 12) AS i')})"),
+        "cum_iroi_details": (on("events", lambda d, e: ev.cum_iroi(d, e, BUCKETS, details=True)), f"SELECT *, incremental_cost < 0 AS negative_cost FROM ({evaluation_sql('events', IROI, q, True, threshold=True)})"),
         "cate_per_bucket_ci": (on("orders", lambda d, e: ev.cate(d, e, bootstrap=BOOT)), evaluation_sql("orders", {"cate": METRIC_SQL["ate"]}, "bucket", draws=DRAWS)),
         "cate_per_quantile_ci": (on("orders", lambda d, e: ev.cate(d, e, BUCKETS, bootstrap=BOOT)), evaluation_sql("orders", {"cate": METRIC_SQL["ate"]}, q, draws=DRAWS)),
         "target_rate_per_quantile_ci": (on("events", lambda d, e: ev.target_rate(d, e, BUCKETS, bootstrap=BOOT)), evaluation_sql("events", rate, q, draws=DRAWS)),
@@ -207,11 +211,33 @@ def _divergence_sql(method: str) -> str:
 _CURVE_BINS = "(coalesce(t1 / nullif(t1 + t0, 0), 0) - coalesce(c1 / nullif(c1 + c0, 0), 0)) * (t1 + t0 + c1 + c0) / sum(t1 + t0 + c1 + c0) OVER (PARTITION BY feature)"
 
 
-def _niv_sql() -> str:
+def _niv_bins_sql(rows: str) -> str:
     share = {(y, t): f"coalesce({a}{y} / nullif(sum({a}{y}) OVER (PARTITION BY feature), 0), 0)" for t, a in ((1, "t"), (0, "c")) for y in (1, 0)}
     shares = ", ".join(f"{x} AS e{y}{t}" for (y, t), x in share.items())
     woe = lambda t: f"(CASE WHEN e0{t} = 0 THEN -10.0 WHEN e1{t} = 0 THEN 10.0 ELSE log10(e1{t} / nullif(e0{t}, 0)) END)"
-    return f"WITH {_binned_sql()}, g AS (SELECT feature, bin, {_CELLS} FROM p GROUP BY feature, bin), e AS (SELECT feature, {shares} FROM g) SELECT feature, round(sum(({woe(1)} - {woe(0)}) * (e11 * e00 - e01 * e10)) / count(*), 6) AS score FROM e GROUP BY feature"
+    return f"WITH {rows}, g AS (SELECT feature, bin, {_CELLS} FROM p GROUP BY feature, bin), e AS (SELECT feature, bin, {shares} FROM g) SELECT feature, bin, ({woe(1)} - {woe(0)}) * (e11 * e00 - e01 * e10) AS contribution FROM e"
+
+
+def _niv_sql(rows: str) -> str:
+    return f"SELECT feature, round(sum(contribution) / count(*), 6) AS score FROM ({_niv_bins_sql(rows)}) GROUP BY feature"
+
+
+#: Few rows, so that cells of a bin, arm and outcome are empty.
+FEW = f"SELECT CAST(unit % 11 AS DOUBLE) AS f, treatment, outcome FROM ({SQL['orders'][0]}) AS o WHERE o_orderdate BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1995-01-10'"
+
+
+def _few(spark: SparkSession, folder: str) -> DataFrame:
+    rows = se.date_range(view(spark, folder, "orders"), "o_orderdate", F.lit("1995-01-01").cast("timestamp"), F.lit("1995-01-10").cast("timestamp"))
+    return rows.select((F.col("unit") % 11).cast("double").alias("f"), "treatment", "outcome")
+
+
+def _one_feature_sql(rows: str, feature: str, column: str) -> str:
+    """The parts of _binned_sql for one feature that is its own bin."""
+    return f"d AS (SELECT * FROM ({rows})), p AS (SELECT '{feature}' AS feature, {column} AS bin, treatment AS t, outcome AS y FROM d)"
+
+
+def _bins_sql(method: str, rows: str) -> str:
+    return f"WITH {rows}, g AS (SELECT feature, bin, {_CELLS} FROM p GROUP BY feature, bin), r AS ({_rates_sql('g')}) SELECT feature, bin, round({_distance_sql(method)} * (t1 + t0 + c1 + c0) / sum(t1 + t0 + c1 + c0) OVER (PARTITION BY feature), 6) AS contribution FROM r"
 
 
 def _selections() -> dict[str, tuple[Query, str | None]]:
@@ -231,7 +257,17 @@ def _selections() -> dict[str, tuple[Query, str | None]]:
         "uplift_curve_filter": (lines(lambda d: se.uplift_curve_filter(d, e, FEATURES)), f"WITH {_binned_sql()}, g AS (SELECT feature, bin, {_CELLS} FROM p GROUP BY feature, bin), b AS (SELECT feature, {_CURVE_BINS} AS x FROM g) SELECT feature, round(sum(x), 6) AS score FROM b GROUP BY feature"),
         "uplift_curve_bins": (lines(lambda d: se.uplift_curve_bins(d, e, FEATURES)), f"WITH {_binned_sql()}, g AS (SELECT feature, bin, {_CELLS} FROM p GROUP BY feature, bin) SELECT feature, round(bin, 6) AS bin, round({_CURVE_BINS}, 6) AS contribution FROM g"),
         "divergence_bins": (lines(lambda d: se.divergence_bins(d, e, FEATURES, method="ED")), f"WITH {_binned_sql()}, g AS (SELECT feature, bin, {_CELLS} FROM p GROUP BY feature, bin), r AS ({_rates_sql('g')}) SELECT feature, round(bin, 6) AS bin, round({_distance_sql('ED')} * (t1 + t0 + c1 + c0) / sum(t1 + t0 + c1 + c0) OVER (PARTITION BY feature), 6) AS contribution FROM r"),
-        "niv_filter": (lines(lambda d: se.niv_filter(d, e, FEATURES)), _niv_sql()),
+        "divergence_bins_kl": (lines(lambda d: se.divergence_bins(d, e, FEATURES)), _bins_sql("KL", _binned_sql())),
+        "divergence_bins_chi": (lines(lambda d: se.divergence_bins(d, e, FEATURES, method="Chi")), _bins_sql("Chi", _binned_sql())),
+        "niv_filter": (lines(lambda d: se.niv_filter(d, e, FEATURES)), _niv_sql(_binned_sql())),
+        "niv_bins": (lines(lambda d: se.niv_bins(d, e, FEATURES)), f"SELECT feature, bin, round(contribution, 6) AS contribution FROM ({_niv_bins_sql(_binned_sql())})"),
+        "divergence_empty_cells": (lambda s, f: tidy(se.divergence_bins(_few(s, f), e, ["f"], bins=20)), _bins_sql("KL", _one_feature_sql(FEW, "f", "f"))),
+        "niv_empty_cells": (lambda s, f: tidy(se.niv_bins(_few(s, f), e, ["f"], bins=20)), f"SELECT feature, bin, round(contribution, 6) AS contribution FROM ({_niv_bins_sql(_one_feature_sql(FEW, 'f', 'f'))})"),
+        "niv_double_arms": (lines(lambda d: se.niv_filter(d.withColumn("treatment", F.col("treatment").cast("double")), e, FEATURES)), _niv_sql(_binned_sql())),
+        "uplift_curve_text_arms": (lines(lambda d: se.uplift_curve_filter(d.withColumn("treatment", F.when(F.col("treatment") == 1, "offer").otherwise("none")), Experiment(treated="offer", control="none"), FEATURES)), f"WITH {_binned_sql()}, g AS (SELECT feature, bin, {_CELLS} FROM p GROUP BY feature, bin), b AS (SELECT feature, {_CURVE_BINS} AS x FROM g) SELECT feature, round(sum(x), 6) AS score FROM b GROUP BY feature"),
+        "divergence_text_feature": (lambda s, f: tidy(se.divergence_bins(view(s, f, "orders"), e, ["bucket"])), _bins_sql("KL", _one_feature_sql(SQL["orders"][0], "bucket", "bucket"))),
+        "importance_plot_data": (lines(lambda d: plots.importance_data(se.niv_filter(d, e, FEATURES))), f"SELECT feature AS x, score AS y FROM ({_niv_sql(_binned_sql())})"),
+        "contribution_plot_data": (lines(lambda d: plots.contribution_data(se.niv_bins(d, e, FEATURES), "l_quantity")), f"SELECT feature, bin AS x, round(contribution, 6) AS y FROM ({_niv_bins_sql(_binned_sql())}) WHERE feature = 'l_quantity'"),
         "discretise": (lines(lambda d: se.discretise(d, FEATURES, exact=True).groupBy(*FEATURES).agg(F.count(F.lit(1)).alias("n"))), f"WITH {_binned_sql()} SELECT l_tax, l_linenumber, l_quantity, count(*) AS n FROM d GROUP BY 1, 2, 3"),
         "min_max": (lambda s, f: tidy(se.min_max(scores(s, f), ["a", "b", "c"])), f"SELECT {', '.join(f'round(({c} - min({c}) OVER ()) / nullif(max({c}) OVER () - min({c}) OVER (), 0), 6) AS {c}' for c in 'abc')} FROM ({parts})"),
         "linear_weighting": (lambda s, f: tidy(se.linear_weighting(scores(s, f), ["a", "b", "c"]), 2), f"SELECT feature, round(a, 2) AS a, round(b, 2) AS b, round(c, 2) AS c, round(a * (1.0::DOUBLE / 3) + b * (2.0::DOUBLE / 3) + c, 2) AS weighted_score FROM ({parts})"),
@@ -270,22 +306,35 @@ def _learners() -> dict[str, tuple[Query, str | None]]:
         out = feature_pipeline(["o_orderpriority"], ["o_totalprice"], one_hot=False).fit(o).transform(o)
         return out.groupBy("o_orderpriority", F.col("o_orderpriority_index").alias("category")).agg(F.count(F.lit(1)).alias("n"))
 
-    def trial(make, binary: bool = True) -> Query:
+    logistic, tree = le.Base(LogisticRegression, {"maxIter": 10}), le.Base(DecisionTreeRegressor, {"maxDepth": 5})
+    labels = lambda: le.ClassTransformation(OLS, Experiment()).label()
+    orders = SQL["orders"][0]
+    unit = Experiment(features=("o_totalprice", "score"), key=("unit",))
+    line = Experiment(features=("l_quantity", "l_discount", "l_tax", "l_linenumber", "l_extendedprice"), key=experiment("lines").key)
+
+    def learned(make, name: str = "orders") -> Query:
+        """Of each row of the view its key and what the learner says."""
+
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            d = randomised_trial(spark, 4000, binary=binary, seed=7).persist()
-            x = Experiment(features=tuple(f"feature_{i}" for i in range(1, 6)), key=("unit",))
-            return make(x).fit(d).predict(d)
+            d, x = view(spark, folder, name), unit if name == "orders" else line
+            return make(x).fit(d).predict(d).select(*x.key, "learned")
 
         return run
 
-    logistic, tree = le.Base(LogisticRegression, {"maxIter": 10}), le.Base(DecisionTreeRegressor, {"maxDepth": 5})
-    labels = lambda: le.ClassTransformation(OLS, Experiment()).label()
-    orders = SQL["orders"][0]
-    forest = lambda x: UpliftForest(x, trees=5, max_depth=3, bins=10)
+    forest = lambda x: UpliftForest(x, trees=10, max_depth=5, bins=20, output="learned")
+    benefit = lambda x: x.with_(outcome="benefit")
 
     def importance(spark: SparkSession, folder: str) -> DataFrame:
-        d = randomised_trial(spark, 2000, binary=True, seed=7).persist()
-        return permutation_importance(d, forest(Experiment(features=tuple(f"feature_{i}" for i in range(1, 6)), key=("unit",))), repeats=1, buckets=10)
+        return permutation_importance(view(spark, folder, "lines"), UpliftForest(line, trees=5, max_depth=3, bins=10), buckets=10)
+
+    def retrospective(spark: SparkSession, folder: str) -> DataFrame:
+        rows = le.Retrospective(OLS, unit).positives(view(spark, folder, "orders"))
+        return rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("__t").cast("long").alias("treated"))
+
+    def folds(spark: SparkSession, folder: str) -> DataFrame:
+        """Folds that other engines can draw, given to the learner as a column."""
+        d = view(spark, folder, "orders").withColumn("part", F.floor(2 * portable_uniform(F.col("unit"), F.lit("fold"))).cast("int"))
+        return d.groupBy(le.RLearner(OLS, unit, fold_column="part").fold_of().alias("fold")).agg(F.count(F.lit(1)).alias("n"))
 
     return {
         "t_learner_linear": (linear(lambda: le.TLearner(OLS, e)), per_arm),
@@ -299,15 +348,15 @@ def _learners() -> dict[str, tuple[Query, str | None]]:
         "propensity_share": (lambda s, f: tidy((lambda d: le.Propensity(Experiment()).fit(d).predict(d))(view(s, f, "orders")).select("unit", "propensity")), f"WITH v AS ({orders}) SELECT unit, round(avg(treatment) OVER (), 6) AS propensity FROM v"),
         "cvt_label": (lambda s, f: view(s, f, "orders").select("unit", labels().cast("int").alias("label")), f"WITH v AS ({orders}) SELECT unit, CASE WHEN treatment = outcome THEN 1 ELSE 0 END AS label FROM v"),
         "transformed_outcome_label": (lambda s, f: tidy(view(s, f, "orders").select("unit", le.TransformedOutcome(OLS, Experiment()).label(F.lit(0.25)).alias("label"))), f"WITH v AS ({orders}) SELECT unit, CASE WHEN treatment = 1 THEN outcome / 0.25 ELSE -outcome / 0.75 END::DOUBLE AS label FROM v".replace("-outcome / 0.75", "round(-outcome / 0.75, 6)")),
-        "retrospective_filter": (lambda s, f: view(s, f, "orders").where("outcome = 1").groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("treatment").cast("long").alias("treated")), f"WITH v AS ({orders}) SELECT bucket, count(*) AS n, sum(treatment)::BIGINT AS treated FROM v WHERE outcome = 1 GROUP BY bucket"),
-        "r_learner_folds": (lambda s, f: view(s, f, "orders").groupBy(fold(2, 42, F.col("unit")).alias("fold")).agg(F.count(F.lit(1)).alias("n")), None),
-        "t_learner_logistic": (trial(lambda x: le.TLearner(logistic, x)), None),
-        "s_learner_tree": (trial(lambda x: le.SLearner(tree, x), False), None),
-        "x_learner_tree": (trial(lambda x: le.XLearner(tree, x), False), None),
-        "cvt_logistic": (trial(lambda x: le.ClassTransformation(logistic, x)), None),
-        "propensity_logistic": (trial(lambda x: le.Propensity(x, logistic)), None),
-        "retrospective_logistic": (trial(lambda x: le.Retrospective(logistic, x)), None),
-        "uplift_forest": (trial(forest), None),
+        "retrospective_filter": (retrospective, f"WITH v AS ({orders}) SELECT bucket, count(*) AS n, sum(treatment)::BIGINT AS treated FROM v WHERE outcome = 1 GROUP BY bucket"),
+        "r_learner_folds": (folds, f"WITH v AS ({orders}) SELECT CAST(floor(2 * (CAST('0x' || substr(md5(CAST(unit AS VARCHAR) || ':fold'), 1, 8) AS BIGINT) / CAST(4294967296.0 AS DOUBLE))) AS INT) AS fold, count(*) AS n FROM v GROUP BY 1"),
+        "t_learner_logistic": (learned(lambda x: le.TLearner(logistic, x, "learned")), None),
+        "s_learner_tree": (learned(lambda x: le.SLearner(tree, benefit(x), "learned"), "lines"), None),
+        "x_learner_tree": (learned(lambda x: le.XLearner(tree, benefit(x), "learned"), "lines"), None),
+        "cvt_logistic": (learned(lambda x: le.ClassTransformation(logistic, x, "learned")), None),
+        "propensity_logistic": (learned(lambda x: le.Propensity(x, logistic, "learned")), None),
+        "retrospective_logistic": (learned(lambda x: le.Retrospective(logistic, x, "learned")), None),
+        "uplift_forest": (learned(forest, "lines"), None),
         "permutation_importance": (importance, None),
         "simulate_rct": (lambda s, f: randomised_trial(s, 1000, 6, binary=True, cost_benefit=True), None),
     }

@@ -22,6 +22,41 @@ def curve_data(result: DataFrame, metric: str, x: str = "fraction") -> DataFrame
     return result.select(F.col(x).alias("x"), F.col(metric).alias("y"), F.lit(overall).alias("overall"), (F.col(x) * F.lit(overall)).alias("diagonal"), *bounds).orderBy("x")
 
 
+def importance_data(scores: DataFrame, feature: str = "feature", score: str = "score") -> DataFrame:
+    """x, y: features and scores, the lowest first, as horizontal bars are stacked from below."""
+    return scores.select(F.col(feature).alias("x"), F.col(score).alias("y")).orderBy("y", F.desc("x"))
+
+
+def contribution_data(contributions: DataFrame, feature: str | None = None) -> DataFrame:
+    """feature, x (the bin), y: the contributions of the bins of one feature, or of all, by feature and bin."""
+    own = contributions if feature is None else contributions.where(F.col("feature") == feature)
+    return own.select("feature", F.col("bin").alias("x"), F.col("contribution").alias("y")).orderBy("feature", "x")
+
+
+def draw_importance(scores: DataFrame, ax=None):
+    """Draws a score table as horizontal bars, the highest on top."""
+    if ax is None:
+        import matplotlib.pyplot as plt
+
+        ax = plt.gca()
+    rows = importance_data(scores).toPandas()
+    ax.barh(rows["x"], rows["y"])
+    return ax
+
+
+def draw_contributions(contributions: DataFrame, axes: dict | None = None) -> dict:
+    """Draws the bins' contributions of each feature, on its own axes if none are given by feature."""
+    rows, axes = contribution_data(contributions).toPandas(), dict(axes or {})
+    for name, own in rows.groupby("feature", sort=True):
+        if name not in axes:
+            import matplotlib.pyplot as plt
+
+            axes[name] = plt.subplots()[1]
+        axes[name].bar([str(round(x, 4)) if isinstance(x, float) else str(x) for x in own["x"]], own["y"])
+        axes[name].set_title(name)
+    return axes
+
+
 def draw(data: DataFrame, label: str | None = None, ax=None):
     """Draws bar_data or curve_data: points with error bars or bars, or a curve with its band and reference."""
     if ax is None:

@@ -5,18 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from deltaplane.functions.draws import fast_uniform, normal
+
 
 def randomised_trial(spark: SparkSession, rows: int = 1000, features: int = 5, noise: float = 1.0, binary: bool = False, cost_benefit: bool = False, seed: int = 0) -> DataFrame:
     """unit, treatment, outcome, propensity, expected_outcome, actual_cate, feature_1..n [, benefit, cost].
 
     Features are standard normal; the base outcome is max(0, x1 + x2 + x3) + max(0, x4 + x5), the effect
     x1 + log(1 + exp(x2)), half of it added for the treated and half taken from the others. Binary outcomes are the
-    sign of the potential outcome, and the effect the difference of their logistic values.
+    sign of the potential outcome, and the effect the difference of their logistic values. Every number is a hash of
+    seed, column and unit, so the rows are the same on any partitioning.
     """
     if features < 5:
         raise ValueError("the base outcome needs 5 features")
     x = [F.col(f"feature_{i + 1}") for i in range(features)]
-    df = spark.range(rows).withColumnRenamed("id", "unit").select("unit", *[F.randn(seed + i).alias(f"feature_{i + 1}") for i in range(features)], F.rand(seed + 1000).alias("__w"), F.randn(seed + 1001).alias("__e1"), F.randn(seed + 1002).alias("__e0"), *[F.rand(seed + 1003 + k).alias(f"__u{k}") for k in range(3)])
+    uniform_ = lambda name: fast_uniform(seed, F.lit(name), F.col("unit")).alias(f"__{name}")
+    normal_ = lambda name, to: normal(seed, F.lit(name), F.col("unit")).alias(to)
+    df = spark.range(rows).withColumnRenamed("id", "unit").select("unit", *[normal_(f"x{i + 1}", f"feature_{i + 1}") for i in range(features)], uniform_("w"), normal_("e1", "__e1"), normal_("e0", "__e0"), *[uniform_(f"u{k}") for k in range(3)])
     base = F.greatest(F.lit(0.0), x[0] + x[1] + x[2]) + F.greatest(F.lit(0.0), x[3] + x[4])
     effect = x[0] + F.log1p(F.exp(x[1]))
     treated = F.col("__w") < 0.5

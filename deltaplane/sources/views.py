@@ -14,11 +14,12 @@ SELECT o_orderkey AS unit, CAST(o_orderkey % 2 AS INT) AS treatment, CAST(o_orde
   CASE WHEN o_orderkey % 2 = 1 THEN CAST(0.05 AS DOUBLE) * o_totalprice ELSE CAST(0 AS DOUBLE) END AS cost,
   o_totalprice, o_orderdate
 FROM orders JOIN customer ON o_custkey = c_custkey"""
-#: Line items: no unique key.
+#: Line items: order, part, supplier and line number tell them apart.
 LINES = """
 SELECT CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END AS treatment, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS outcome,
   l_extendedprice AS score, CAST(l_linenumber AS DOUBLE) AS bucket, l_extendedprice * (1 - l_discount) AS benefit,
-  l_extendedprice * l_tax AS cost, l_quantity, l_discount, l_tax, CAST(l_linenumber AS DOUBLE) AS l_linenumber, l_extendedprice
+  l_extendedprice * l_tax AS cost, l_quantity, l_discount, l_tax, CAST(l_linenumber AS DOUBLE) AS l_linenumber, l_extendedprice,
+  l_orderkey, l_partkey, l_suppkey
 FROM lineitem"""
 #: Events: unit event_id.
 EVENTS = """
@@ -40,4 +41,4 @@ def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def experiment(name: str) -> Experiment:
     """Roles of the view's columns."""
-    return Experiment(key=() if name == "lines" else ("unit",))
+    return Experiment(key=("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber") if name == "lines" else ("unit",))
