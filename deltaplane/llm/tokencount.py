@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,7 @@ from deltaplane.llm._encode import text_batches
 
 #: The mark that stands for a space and opens every chunk.
 MARK = "▁"
+RUNS = re.compile(" +[^ ]*")
 #: An unknown character scores so much less than the worst piece.
 UNKNOWN = 10.0
 
@@ -21,9 +23,9 @@ UNKNOWN = 10.0
 class Counter:
     """Pieces and score of the best segmentation of a text.
 
-    The text's spaces become marks, a mark is put before a text that has none there, and every mark opens a chunk; no
-    piece may cross the start of a chunk (those that would are left out), so each distinct chunk is segmented once and remembered. Of segmentations with
-    equal scores the one whose last piece is longest wins at every position, as scores are compared from the earliest
+    The text's spaces become marks, and a mark is put before a text that has none there. A run of marks opens a chunk:
+    no piece has a mark behind another character, so none crosses the start of a chunk, and each distinct chunk is
+    segmented once and remembered. Pieces of several marks count like any other. Of segmentations with equal scores the one whose last piece is longest wins at every position, as scores are compared from the earliest
     start on and replaced only by larger ones. A character without a piece of its own may be unknown; it counts as its
     UTF-8 bytes.
     """
@@ -33,7 +35,9 @@ class Counter:
 
         self.most, self.longest = most, longest
         self.known: dict[str, tuple[int, float]] = {}
-        pieces = [(p, s) for p, s in pieces if p and MARK not in p[1:]]
+        pieces = [(p, s) for p, s in pieces if p]
+        if any(MARK in p.lstrip(MARK) for p, _ in pieces):
+            raise ValueError("a piece has a mark behind another character, so that texts can't be cut there")
         self.unknown = min(s for _, s in pieces) - UNKNOWN
         self.single = {p for p, _ in pieces if len(p) == 1}
         self.automaton = ahocorasick.Automaton()
@@ -76,7 +80,7 @@ class Counter:
     def chunk(self, part: str) -> tuple[int, float]:
         found = self.known.get(part)
         if found is None:
-            found = self.segment(MARK + part)
+            found = self.segment(MARK + part.replace(" ", MARK))
             if len(part) <= self.longest:
                 if len(self.known) >= self.most:
                     self.known.clear()
@@ -87,9 +91,13 @@ class Counter:
         """Pieces and score of a whole text."""
         if not text:
             return 0, 0.0
-        parts = text.replace(MARK, " ").split(" ")
+        text = text.replace(MARK, " ")
+        parts = text.split(" ")
         if not parts[0]:
             parts = parts[1:]
+        if "" in parts:
+            # Runs of spaces: a chunk keeps the spaces before its own mark.
+            parts = [p[1:] for p in RUNS.findall(text if text[0] == " " else " " + text)]
         get = self.known.get
         found = [get(p) or self.chunk(p) for p in parts]
         return sum([n for n, _ in found]), sum([s for _, s in found])
@@ -112,7 +120,10 @@ def vocabulary(model: str) -> list[tuple[str, float]]:
 def token_counts(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, n_tokens, score of the best segmentation of the whole text.
 
-    Null and empty texts have no tokens. Repeated rows are each returned; an empty table gives an empty result.
+    The scores of the file's pieces are taken as those of a unigram model, so the counts are that model's, which are not
+    those of the file's own merges where the file is a BPE one. Null and empty texts have no tokens, score 0. Of
+    segmentations with equal scores Counter says which one counts. Repeated rows are each returned; an empty table
+    gives an empty result; other columns are ignored, whatever their names. Texts of any length are counted whole.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
 
