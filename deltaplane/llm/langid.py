@@ -14,11 +14,40 @@ from deltaplane.llm._encode import text_batches
 
 #: Byte n-grams of the lower-cased words, with the blank before and behind, are hashed to 2^BITS places for each n.
 GRAMS, BITS = (2, 3, 4), 15
-#: Scripts by lead byte of UTF-8: ASCII, Latin, Greek and Cyrillic, Hebrew to Nko, two rows of three-byte scripts, the rest.
-SCRIPTS = np.zeros(256, np.uint8)
-for _from, _script in ((0xC2, 1), (0xCD, 2), (0xD6, 3), (0xE0, 4), (0xE3, 5), (0xF0, 6)):
-    SCRIPTS[_from:] = _script
-N_SCRIPTS = 7
+#: First code points of script ranges, and the script. Letters of a range that isn't named are of the one before.
+RANGES = (
+    (0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"), (0x0600, "arabic"),
+    (0x0700, "syriac"), (0x0900, "devanagari"), (0x0980, "bengali"), (0x0A00, "gurmukhi"), (0x0A80, "gujarati"), (0x0B00, "oriya"),
+    (0x0B80, "tamil"), (0x0C00, "telugu"), (0x0C80, "kannada"), (0x0D00, "malayalam"), (0x0D80, "sinhala"), (0x0E00, "thai"),
+    (0x0E80, "lao"), (0x0F00, "tibetan"), (0x1000, "myanmar"), (0x10A0, "georgian"), (0x1100, "hangul"), (0x1200, "ethiopic"),
+    (0x13A0, "other"), (0x1780, "khmer"), (0x1800, "mongolian"), (0x18B0, "other"), (0x1E00, "latin"), (0x1F00, "greek"),
+    (0x2000, "other"), (0x2C60, "latin"), (0x2C80, "other"), (0x2E80, "han"), (0x3040, "kana"), (0x3100, "han"),
+    (0xAC00, "hangul"), (0xD800, "other"), (0xF900, "han"), (0xFB00, "other"), (0x20000, "han"), (0x30000, "other"),
+)
+SCRIPTS = sorted({name for _, name in RANGES})
+N_SCRIPTS = len(SCRIPTS) + 1
+
+
+def _script_table() -> np.ndarray:
+    """Script (from 1; 0: within a character) by a byte and the one behind it: two bytes tell code points to 64 or better."""
+    table = np.zeros(1 << 16, np.uint8)
+    at = np.array([a for a, _ in RANGES])
+    number = np.array([SCRIPTS.index(name) + 1 for _, name in RANGES], np.uint8)
+    of = lambda points: number[np.searchsorted(at, points, "right") - 1]
+    table[: 0x80 << 8] = SCRIPTS.index("latin") + 1
+    for lead in range(0xC2, 0xF5):
+        second = np.arange(0x80, 0xC0)
+        if lead < 0xE0:
+            points = (lead & 0x1F) << 6 | second & 0x3F
+        elif lead < 0xF0:
+            points = ((lead & 0x0F) << 6 | second & 0x3F) << 6 | 0x20  # amid the 64 of the pair
+        else:
+            points = ((lead & 0x07) << 6 | second & 0x3F) << 12
+        table[lead << 8 | second] = of(points)
+    return table
+
+
+_SCRIPT = _script_table()
 SIZE = len(GRAMS) << BITS
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
@@ -38,7 +67,20 @@ class Words:
         #: First word of each text, and one behind the last.
         self.first = np.searchsorted(self.starts, bounds)
         self.data, self.blank = data, blank
-        self.scripts = np.maximum.reduceat(SCRIPTS[data], self.starts) if len(self.starts) else np.zeros(0, np.uint8)
+        #: The script of a word: that of its first letter beyond ASCII, else of ASCII.
+        self.scripts = self._scripts()
+
+    def _scripts(self) -> np.ndarray:
+        if not len(self.starts):
+            return np.zeros(0, np.uint8)
+        lead = np.nonzero(self.data >= 0xC2)[0]
+        out = np.full(len(self.starts), _SCRIPT[ord("a") << 8], np.uint8)
+        first = np.searchsorted(lead, self.starts)
+        has = first < len(lead)
+        at = lead[np.minimum(first, len(lead) - 1)] if len(lead) else np.zeros(len(first), int)
+        has &= at < self.ends
+        out[has] = _SCRIPT[self.data[at[has]].astype(np.int64) << 8 | self.data[at[has] + 1]]
+        return out
 
     def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Places of the n-grams that touch a word and hold blanks only as their first or last byte; their first bytes."""
@@ -144,9 +186,12 @@ def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float, block: int =
     return path[row_at, row_block]
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", most_documents: int = 20_000) -> Model:
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", most_documents: int = 20_000, most_languages: int = 256) -> Model:
     """A model of the labelled rows of docs (those with a text and a language).
 
+    More than `most_languages` different labels are an error: the table that is sent to all tasks has a row of 98,304
+    numbers for each, and so many labels are no languages.
+
     Where there are more than `most_documents` of them, about so many are drawn by a hash of their text; whole texts
     count. n-gram counts are summed on the executors; languages x hash places reach the driver, whatever the corpus.
     """
@@ -155,6 +200,9 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", most_document
     if share < 1:
         rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000))
 
+    if rows.select("lang").distinct().limit(most_languages + 1).count() > most_languages:
+        raise ValueError(f"more than {most_languages} different languages")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
         for b in text_batches(batches, "text"):
@@ -184,8 +232,8 @@ def label(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
 
     spans: runs of words (start, end, lang) that the best path gives one language. lang_pred has most bytes of words
     (the first in code-point order of equals), score is their share. `und` with score 0 and no spans if the text is
-    null or has no letter. Whole texts are labelled; repeated rows are each returned, an empty table gives an empty
-    result.
+    null or has no letter. Whole texts are labelled, whatever their length; repeated rows are each returned, an empty
+    table gives an empty result; other columns are ignored, whatever their names.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)
