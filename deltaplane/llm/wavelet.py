@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
 import struct
-import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -66,11 +66,14 @@ class WaveletMatrix:
 
     def _select(self, plane: int, k: int, one: bool) -> int:
         """Position of the k-th (from 0) one or zero of a plane, by the ranks of blocks and then within a block."""
-        ranks = self.ranks[plane].astype(np.int64)
-        before = ranks if one else np.arange(len(ranks)) * BLOCK - ranks
-        block = int(np.searchsorted(before, k, "right")) - 1
+        ranks = self.ranks[plane]
+        before = lambda b: int(ranks[b]) if one else b * BLOCK - int(ranks[b])
+        block, behind = 0, len(ranks)
+        while behind - block > 1:
+            middle = (block + behind) // 2
+            block, behind = (middle, behind) if before(middle) <= k else (block, middle)
         own = np.unpackbits(self.planes[plane][block * BLOCK // 8 : (block + 1) * BLOCK // 8], bitorder="little")
-        return block * BLOCK + int(np.nonzero(own == one)[0][k - int(before[block])])
+        return block * BLOCK + int(np.nonzero(own == one)[0][k - before(block)])
 
     def access(self, i: int) -> int:
         """The id at position i."""
@@ -123,7 +126,8 @@ def write_shards(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
 
     A row is a shard: part, shard (their order), before (ids of the part before it), doc_ids, counts and file, the
     wavelet matrix of its ids. A shard ends with the document that fills it, so a very long document makes a long one.
-    Null doc_ids come first; null texts are empty: the end id alone. The container is Parquet, compressed, in the
+    Null doc_ids come first; null texts are empty: the end id alone. Rows that share a doc_id are documents of their own,
+    in the order of their texts; other columns are ignored, whatever their names; an empty table gives no shards. The container is Parquet, compressed, in the
     shared folder, since executors can only write there through Spark.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
@@ -169,15 +173,79 @@ def write_shards(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
     return materialise(ranged.mapInArrow(run, f"part int, shard int, before bigint, n bigint, doc_ids array<{kind}>, counts array<bigint>, file binary"), "wavelet")
 
 
-def read_documents(shards: DataFrame) -> DataFrame:
-    """Stored shards -> a row for each document: doc_id, start, n_tokens, ids (binary, unsigned 32-bit little-endian).
-
-    One total for each part of the write reaches the driver.
-    """
+def _before(shards: DataFrame) -> dict[int, int]:
+    """Ids of all parts before each part of the write; one total for each part reaches the driver."""
     totals = {r["part"]: r["n"] for r in shards.groupBy("part").agg(F.sum("n").alias("n")).collect()}
     sums, carry = {}, 0
     for p in sorted(totals):
         sums[p], carry = carry, carry + totals[p]
+    return sums
+
+
+def _each_shard(shards: DataFrame, find: Callable[[WaveletMatrix, int, np.ndarray], Iterator[dict]], kinds: str) -> DataFrame:
+    """The rows that find(matrix, ids before the shard, counts) yields for each shard, with the index of a document
+    (`nth`, left out) turned into its doc_id."""
+    sums = _before(shards)
+    kind = shards.schema["doc_ids"].dataType.elementType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                x = {c: b.column(i)[r] for i, c in enumerate(b.schema.names)}
+                rows = list(find(WaveletMatrix(x["file"].as_py()), sums[x["part"].as_py()] + x["before"].as_py(), np.array(x["counts"].as_py(), np.int64)))
+                for k in range(0, len(rows), 10_000):
+                    part = rows[k : k + 10_000]
+                    names = [c for c in part[0] if c != "nth"]
+                    ids = x["doc_ids"].values.take(pa.array([t["nth"] for t in part]))
+                    yield pa.RecordBatch.from_arrays([ids, *[pa.array([t[c] for t in part], pa.int64()) for c in names]], names=["doc_id", *names])
+
+    return shards.select("part", "before", "doc_ids", "counts", "file").mapInArrow(run, f"doc_id {kind}, {kinds}")
+
+
+def occurrences(shards: DataFrame, token: int) -> DataFrame:
+    """Where stored shards hold the id: doc_id, position (from 0, over all documents) and place (in the document), by
+    count and select in each shard's file; nothing is decoded."""
+
+    def find(matrix: WaveletMatrix, before: int, counts: np.ndarray) -> Iterator[dict]:
+        ends = np.cumsum(counts)
+        for k in range(matrix.count(token)):
+            i = matrix.find(token, k)
+            nth = int(np.searchsorted(ends, i, "right"))
+            yield {"nth": nth, "position": before + i, "place": i - int(ends[nth] - counts[nth])}
+
+    return _each_shard(shards, find, "position bigint, place bigint")
+
+
+def count_by_document(shards: DataFrame, token: int) -> DataFrame:
+    """doc_id and n, how often it holds the id, of the documents of stored shards that hold it."""
+
+    def find(matrix: WaveletMatrix, before: int, counts: np.ndarray) -> Iterator[dict]:
+        if not matrix.count(token):
+            return
+        ends = np.cumsum(counts).tolist()
+        for nth, (end, size) in enumerate(zip(ends, counts.tolist(), strict=True)):
+            n = matrix.count(token, end - size, end)
+            if n:
+                yield {"nth": nth, "n": n}
+
+    return _each_shard(shards, find, "n bigint")
+
+
+def tokens_at(shards: DataFrame, positions: list[int]) -> DataFrame:
+    """doc_id, position and token of given positions over all documents, by access in the shards that hold them."""
+    wanted = sorted(set(positions))
+
+    def find(matrix: WaveletMatrix, before: int, counts: np.ndarray) -> Iterator[dict]:
+        ends = np.cumsum(counts)
+        for p in wanted[bisect.bisect_left(wanted, before) : bisect.bisect_left(wanted, before + matrix.n)]:
+            yield {"nth": int(np.searchsorted(ends, p - before, "right")), "position": p, "token": matrix.access(p - before)}
+
+    return _each_shard(shards, find, "position bigint, token bigint")
+
+
+def read_documents(shards: DataFrame) -> DataFrame:
+    """Stored shards -> a row for each document: doc_id, start, n_tokens, ids (binary, unsigned 32-bit little-endian)."""
+    sums = _before(shards)
     kind = shards.schema["doc_ids"].dataType.elementType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
