@@ -103,15 +103,24 @@ def _votes(i: int, label: str, notice: str, by_rarity: list[str], rarest: int) -
     return {f"__own_{i}": F.size(own), f"__starts_{i}": F.when(F.exists("keys", lambda k: k["label"] == label), starts).otherwise(F.array().cast("array<bigint>"))}
 
 
-def _verified(i: int, label: str, slack: int, least_share: float) -> Column:
-    """Label and score of notice i; the score is null where it isn't there."""
+def _verified(i: int, label: str, notice: str, slack: int, least_share: float, vocabulary: set[str]) -> tuple[Column, Column]:
+    """The places in one line, and label and score of notice i; the score is null where it isn't there.
+
+    Places voted for and places of the key phrase are sorted together, so that each looks at its neighbours only: so
+    many votes and keys at most as can lie within the slack.
+    """
     s, own = F.col(f"__starts_{i}"), F.col(f"__own_{i}")
     need = F.greatest(F.lit(2), F.ceil(own * F.lit(least_share)).cast("int"))
-    # Starts are sorted, so `need` votes within the slack are neighbours.
-    good = F.filter(s, lambda o, j: F.coalesce(F.get(s, j + need - 1) - o <= slack, F.lit(False)))
-    verified = F.filter(good, lambda o: F.exists("keys", lambda k: (k["label"] == label) & (F.abs(k["offset"] - o) <= slack)))
-    votes = F.transform(verified, lambda o: F.size(F.filter(s, lambda x: (x >= o) & (x <= o + slack))))
-    return F.struct(F.lit(label).alias("label"), F.when(F.size(verified) > 0, F.least(F.lit(1.0), F.array_max(votes) / F.greatest(own, F.lit(1)))).alias("score"))
+    most = (slack + 1) * sum(w in vocabulary for w in notice.split()) + 2 * slack + 1
+    keys = F.array_distinct(F.transform(F.filter("keys", lambda k: k["label"] == label), lambda k: k["offset"]))
+    line = F.col(f"__line_{i}")  # twice the place, one more for a vote
+    vote = lambda m: F.pmod(m, F.lit(2)) == 1
+    behind = lambda m, j: F.slice(line, j + 1, F.lit(most))
+    near = lambda m, j: F.exists(F.slice(line, F.greatest(F.lit(1), j + 1 - most), F.lit(2 * most)), lambda x: ~vote(x) & (F.abs(x - m + 1) <= 2 * slack))
+    votes = lambda m, j: F.size(F.filter(behind(m, j), lambda x: vote(x) & (x <= m + 2 * slack)))
+    good = F.filter(F.transform(line, lambda m, j: F.when(vote(m), F.when(near(m, j), votes(m, j)))), lambda v: v >= need)
+    lined = F.array_sort(F.concat(F.transform(s, lambda x: 2 * x + 1), F.transform(keys, lambda x: 2 * x)))
+    return lined, F.struct(F.lit(label).alias("label"), F.when(F.size(good) > 0, F.least(F.lit(1.0), F.array_max(good) / F.greatest(own, F.lit(1)))).alias("score"))
 
 
 def licence_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rarest: int = 8, slack: int = 2, least_share: float = 0.6, notices: dict[str, tuple[str, str]] = NOTICES, phrases: dict[str, str] = PHRASES) -> DataFrame:
@@ -122,7 +131,9 @@ def licence_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ra
     postings; each meeting votes for the place where the notice would begin, and a notice is a candidate where places within `slack`
     words have votes of `least_share` of the words that could vote, two at least. It counts if its mandatory phrase
     stands at that place. score: the largest share of votes of a notice that counts, at least 0.5 with a base phrase,
-    else 0. Null texts have no words; repeated rows are each returned; an empty table gives an empty result.
+    else 0. Null texts have no words; repeated rows are each returned; an empty table gives an empty result; other
+    columns are ignored, whatever their names. Of votes that tie nothing depends. The work on a document grows with its
+    words, however often a notice repeats in it.
     """
     seen = materialise(measured(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), notices, phrases), "licences")
     vocabulary = index_words(notices)
@@ -132,7 +143,9 @@ def licence_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ra
     a, found = seen, []
     for i, (label, (notice, _)) in enumerate(notices.items()):
         a = a.withColumns(_votes(i, label, notice, by_rarity, rarest))
-        found.append(_verified(i, label, slack, least_share))
+        line, score = _verified(i, label, notice, slack, least_share, set(vocabulary))
+        a = a.withColumn(f"__line_{i}", line)
+        found.append(score)
     b = a.select("doc_id", "n_words", "base", F.filter(F.array(*found), lambda x: x["score"].isNotNull()).alias("found"))
     labels = lambda c: F.array_sort(F.array_distinct(c))
     base_labels = F.transform("base", lambda x: x["label"])
