@@ -17,22 +17,20 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     """sizes(source, size) -> source, source_size, weight, target.
 
     Targets share all sizes by weight; one above MOST_PASSES times its source's size stops there and the excess is
-    shared anew among the others, until none is above. Every round is one aggregate over the sources; two numbers reach
-    the driver. Null is a source, last in order.
+    shared anew among the others, until none is above. Sources stop in the order of cap over weight, so running sums of
+    caps and weights in that order give the final unit as a maximum; two passes over the sources, and three numbers
+    reach the driver. Null is a source, last in order.
     """
     by = sizes.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("one", F.lit(1).cast("long"))
     ranked = running_sums(by, ["source"], ["one"], name="sources", nulls_last=True)
     rank = F.pmod(F.col("before_one"), F.lit(len(WEIGHTS))).cast("int")
     sources = materialise(ranked.select("source", "source_size", F.element_at(F.array(*map(F.lit, WEIGHTS)), rank + 1).cast("long").alias("weight")), "targets")
     cap = MOST_PASSES * F.col("source_size")
-    unit = 0.0
-    for k in range(sources.count() + 1):
-        capped = cap < F.col("weight") * F.lit(unit) if k else F.lit(False)
-        x = sources.agg(F.sum("source_size").alias("all"), F.sum(F.when(capped, cap)).alias("held"), F.sum(F.when(~capped, F.col("weight"))).alias("open")).first()
-        new = ((x["all"] or 0) - (x["held"] or 0)) / x["open"] if x["open"] else unit
-        if new == unit:
-            break
-        unit = new
+    whole = sources.agg(F.sum("source_size").alias("all"), F.sum("weight").alias("weights")).first()
+    if not whole["weights"]:
+        return sources.withColumn("target", F.lit(0.0))
+    stops = running_sums(sources.select("source", "weight", cap.alias("cap"), (cap / F.col("weight")).alias("ratio")), ["ratio", "source"], ["cap", "weight"], name="stops")
+    unit = stops.agg(F.max((F.lit(whole["all"]) - F.col("before_cap")) / (F.lit(whole["weights"]) - F.col("before_weight"))).alias("u")).first()["u"]
     return sources.withColumn("target", F.least(cap.cast("double"), F.col("weight") * F.lit(float(unit))))
 
 
@@ -50,13 +48,15 @@ def curriculum(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sour
 
     A source's documents lie one behind another on a tape, in an order drawn from the md5 of their doc_id; the mix takes
     the first `target` words of the tape repeated MOST_PASSES times. `before`: words of the source before the document.
-    Null and blank texts have size 0 and nothing taken; repeated rows are rows of their own; an empty table gives an
-    empty result.
+    Null and blank texts have size 0 and nothing taken. Rows that share a doc_id, null ones too, are rows of their own,
+    in the order of their size and the hash of their text, so that reruns agree; wholly equal rows are alike in either
+    order. An empty table gives an empty result; columns that aren't carried are ignored, whatever their names. The
+    words of a text of any length are counted whole.
     """
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.size(blank_words(F.col(text))).cast("long").alias("size"), *[F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(carry or [])])
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.xxhash64(F.col(text)).alias("text_hash"), F.size(blank_words(F.col(text))).cast("long").alias("size"), *[F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(carry or [])])
     narrow = materialise(own, "sizes")
     targets = source_targets(narrow.select("source", "size"))
-    laid = running_sums(narrow.withColumn("draw", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), ["draw", "doc_id"], ["size"], by=["source"], name="tape")
+    laid = running_sums(narrow.withColumn("draw", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), ["draw", "doc_id", "size", "text_hash"], ["size"], by=["source"], name="tape")
     laid = laid.withColumn("__source", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
     targets = targets.select(F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("__source"), "source_size", "weight", "target")
     met = join_checked(laid, targets, ["__source"]).withColumnRenamed("before_size", "before")
