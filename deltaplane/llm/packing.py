@@ -122,7 +122,7 @@ def place(pieces: DataFrame, narrow: DataFrame | None = None, window: int = 1024
     runs = plan(total, window)
     # As many rows as there are pairs of partitions and lengths.
     before = counts.select("part", "length", (F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"))
-    out = join_checked(narrow if narrow is not None else pieces, before, ["part", "length"], most=250_000)
+    out = join_checked(narrow if narrow is not None else pieces, before, ["part", "length"], most=(8 << 20) // 32)  # rows of a key, a sum and their headers
     # The plan's size is bound by the window length, not by the corpus.
     table = spark.createDataFrame(runs or [(0, 0, 0, 0, 1, 0)], "length int, first bigint, last bigint, sequence bigint, per_window bigint, shift bigint")
     rank = F.col("before") + F.col("nth")
@@ -136,8 +136,9 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
     """A row for each piece: length, doc_id, start, doc_tokens, ids, sequence_id, offset.
 
     Every id of every document, with the end id, lies in one piece; the pieces of a sequence lie one behind another
-    from offset 0. Null and empty texts are a single end id. Repeated rows are packed each; an empty table gives an
-    empty result. Best-fit decreasing runs on the counts of lengths (at most `window` numbers reach the driver), pieces
+    from offset 0. Null and empty texts are a single end id, texts of any length are cut into windows. Repeated rows are
+    packed each; pieces of one length have their places in the order of the stored parts. An empty table gives an empty
+    result; other columns are ignored, whatever their names. Best-fit decreasing runs on the counts of lengths (at most `window` numbers reach the driver), pieces
     get their places by their rank among those of their length.
     """
     return place(stored(docs, tokenizer, doc_id, text, end, window), window=window)
