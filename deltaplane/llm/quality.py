@@ -86,9 +86,11 @@ def host_quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ho
     return verdicts(measures(narrow), "host", **rules).drop("host")
 
 
-def keep_good(docs: DataFrame, host: str = "source", **rules: object) -> DataFrame:
-    """The rows of docs that host_quality keeps; a row with a null doc_id is judged by its own text and host."""
-    judged = verdicts(measures(docs.select("doc_id", "text", F.col(host).alias("host"))), "host", **rules)
-    # A doc_id of several rows with different texts stays if one of them is kept.
-    good = judged.where("kept").select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(good, docs["doc_id"].eqNullSafe(F.col("__keep")), "left_semi")
+def keep_good(docs: DataFrame, host: str = "source", text: str = "text", **rules: object) -> DataFrame:
+    """The rows of docs that host_quality keeps. Each row is judged by its own text and host, whatever its doc_id.
+
+    The rows travel with their measures, so that nothing is joined but the hosts' rates.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(text).alias("__text"), F.col(host).alias("__own"))
+    judged = verdicts(measures(rows, "__text"), "__own", **rules)
+    return judged.where("kept").select(*[F.col("__row").getField(c).alias(c) for c in docs.columns])
