@@ -25,6 +25,8 @@ from deltaplane.streaming.monitor import effect_by_window
 Query = Callable[[SparkSession, str], DataFrame]
 BUCKETS, DRAWS = 10, 20
 BOOT = ev.Bootstrap(draws=DRAWS, low=0.1, high=0.9, portable=True)
+#: The defaults of the library: 30 buckets, 100 draws.
+FULL = ev.Bootstrap(draws=100, low=0.1, high=0.9, portable=True)
 FEATURES = ["l_tax", "l_linenumber", "l_quantity"]
 OLS = le.Base(LinearRegression, {"solver": "normal", "regParam": 0.0})
 
@@ -51,11 +53,11 @@ SUMS = {
 }
 
 
-def evaluation_sql(name: str, columns: dict[str, str], bucket: str | None = None, cumulative: bool = False, draws: int = 0, threshold: bool = False, zero: bool = False, low: float = 0.1, high: float = 0.9) -> str:
+def evaluation_sql(name: str, columns: dict[str, str], bucket: str | None = None, cumulative: bool = False, draws: int = 0, threshold: bool = False, zero: bool = False, low: float = 0.1, high: float = 0.9, buckets: int = BUCKETS) -> str:
     """SQL for an evaluation of view `name`; columns: result column -> expression of the sums and of the fraction f."""
     parts = [f"v AS ({SQL[name][0]})"]
     if bucket == "quantile":
-        shares = ", ".join(repr(i / BUCKETS) for i in range(1, BUCKETS))
+        shares = ", ".join(repr(i / buckets) for i in range(1, buckets))
         parts.append(f"q AS (SELECT list_sort(list_distinct(quantile_disc(score, [{shares}]))) AS cuts FROM v)")
         parts.append("u AS (SELECT v.* EXCLUDE (bucket), CAST(len(list_filter(cuts, lambda c: c <= score)) AS DOUBLE) AS bucket FROM v, q)")
     else:
@@ -164,6 +166,8 @@ def _evaluations() -> dict[str, tuple[Query, str | None]]:
         "target_rate_per_quantile_ci": (on("events", lambda d, e: ev.target_rate(d, e, BUCKETS, bootstrap=BOOT)), evaluation_sql("events", rate, q, draws=DRAWS)),
         "cate_lift_ci": (on("orders", lambda d, e: ev.cate_lift(d, e, BUCKETS, BOOT)), evaluation_sql("orders", {"cum_cate": METRIC_SQL["ate"]}, q, True, draws=DRAWS)),
         "qini_ci": (on("orders", lambda d, e: ev.qini(d, e, BUCKETS, BOOT)), evaluation_sql("orders", {"ate": f"({METRIC_SQL['ate']}) * f"}, q, True, DRAWS, True, True)),
+        "qini_ci_full": (on("orders", lambda d, e: ev.qini(d, e, 30, FULL)), evaluation_sql("orders", {"ate": f"({METRIC_SQL['ate']}) * f"}, q, True, 100, True, True, buckets=30)),
+        "cate_per_quantile_ci_full": (on("orders", lambda d, e: ev.cate(d, e, 30, bootstrap=FULL)), evaluation_sql("orders", {"cate": METRIC_SQL["ate"]}, q, draws=100, buckets=30)),
         "cum_iroi_ci": (on("events", lambda d, e: ev.cum_iroi(d, e, BUCKETS, BOOT)), evaluation_sql("events", i1, q, True, DRAWS, True)),
         "target_rate_per_bucket_ci": (on("events", lambda d, e: ev.target_rate(d, e, bootstrap=BOOT)), evaluation_sql("events", rate, "bucket", draws=DRAWS)),
         "iroi_per_bucket_ci": (on("events", lambda d, e: ev.iroi(d, e, per_bucket=True, bootstrap=BOOT)), evaluation_sql("events", i1, "bucket", draws=DRAWS)),
