@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from deltaplane.llm._components import connected_components
-from deltaplane.llm._shared import materialise, parts, sorted_groups
+from deltaplane.llm._shared import join_shuffled, materialise, parts, sorted_groups
 
 BITS = 64
 
@@ -94,13 +94,14 @@ def near_links(prints: DataFrame, radius: int = 4, tile: int = 1024, seed: int =
 
     A table for each covering mask; a bucket holds the prints equal under the mask. Buckets above `tile` prints are cut
     into tiles, and each pair of tiles is a group of its own, so no task ever holds a whole hot bucket; a group gives a
-    spanning forest of its links, not all pairs.
+    spanning forest of its links, not all pairs. Buckets meet their sizes in a shuffle join, as there are as many
+    rows as masks for each print, which Spark's guess for a broadcast ignores.
     """
     masks = covering_masks(radius, seed)
     rows = prints.select("f", F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col("f").bitwiseAND(F.lit(_signed(m))).alias("k")) for i, m in enumerate(masks)])).alias("x")).select("f", "x.t", "x.k")
     sizes = rows.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("g", F.ceil(F.col("n") / F.lit(tile)).cast("int"))
     h = F.pmod(F.xxhash64("f", "t"), F.col("g").cast("long")).cast("int")
-    met = rows.join(sizes, ["t", "k"]).withColumn("h", h).select("f", "t", "k", "h", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("o"))
+    met = rows.join(sizes.hint("merge"), ["t", "k"]).withColumn("h", h).select("f", "t", "k", "h", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("o"))
     met = met.select("f", "t", "k", F.least("h", "o").alias("i"), F.greatest("h", "o").alias("j"))
     keys = ["t", "k", "i", "j"]
 
@@ -132,12 +133,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     least = materialise(prints.groupBy("fingerprint_bits").agg(F.min("doc_id").alias("own")), "distinct-prints")
     links = near_links(least.select(F.col("fingerprint_bits").alias("f")), radius)
     nodes = connected_components(links)
-    linked = least.join(nodes, F.col("fingerprint_bits") == F.col("node"))
+    linked = least.join(nodes.hint("merge"), F.col("fingerprint_bits") == F.col("node"))
     roots = linked.groupBy("root").agg(F.min("own").alias("least"))
-    label = nodes.join(roots, "root").select("node", "least")
-    each = least.join(label, F.col("fingerprint_bits") == F.col("node"), "left").select("fingerprint_bits", F.coalesce("least", "own").alias("component_id"))
+    label = join_shuffled(nodes, roots, ["root"]).select("node", "least")
+    each = least.join(label.hint("merge"), F.col("fingerprint_bits") == F.col("node"), "left").select("fingerprint_bits", F.coalesce("least", "own").alias("component_id"))
     # Stored, so that no other join shares the stage and hot fingerprints can be split.
-    return prints.join(materialise(each, "classes"), "fingerprint_bits").select("doc_id", "fingerprint_bits", "component_id")
+    return prints.join(materialise(each, "classes").hint("merge"), "fingerprint_bits").select("doc_id", "fingerprint_bits", "component_id")
 
 
 def keep_one(docs: DataFrame, **options: object) -> DataFrame:
