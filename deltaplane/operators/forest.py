@@ -243,7 +243,8 @@ def permutation_importance(df: DataFrame, forest: UpliftForest, repeats: int = 3
     """feature, score: what the Qini coefficient of the forest loses when the feature is shuffled; the mean of repeats.
 
     The forest is fitted on all rows; samples: it is measured on so many of them, chosen by a hash of the key. A repeat
-    moves all features in one pass; each is then put in the place of the row's own, and the scores are stored.
+    moves all features in one pass; each is then put in the place of the row's own, and the scores are stored. Key,
+    treatment and outcome stay the row's own, even if they are features too.
     """
     e, model = forest.e, forest.fit(df)
     if samples is not None:
@@ -260,8 +261,8 @@ def permutation_importance(df: DataFrame, forest: UpliftForest, repeats: int = 3
         for i, f in enumerate(e.features):
             names[f] = f"__score{i}"
             scored = scored.withColumn(names[f], model.score({g: F.col(g if g == f else own[g]) for g in e.features}))
-        scored = stored(scored.select(*[c for c in roles if c not in e.features], *names.values()))
+        scored = stored(scored.select(*[F.col(own.get(c, c)).alias(c) for c in roles], *names.values()))
         for f in e.features:
             lost[f].append(base - area(scored, names[f]))
     rows = [(f, float(np.mean(x))) for f, x in lost.items()]
-    return df.sparkSession.createDataFrame(rows, "feature string, score double").orderBy(F.desc("score"))
+    return df.sparkSession.createDataFrame(rows, "feature string, score double").orderBy(F.desc("score"), "feature")
