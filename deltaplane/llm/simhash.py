@@ -148,5 +148,5 @@ def keep_one(docs: DataFrame, **options: object) -> DataFrame:
     """
     classes = near_duplicates(docs, **options)
     survivors = classes.where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    kept = docs.join(survivors, docs["doc_id"] == F.col("__keep"), "left_semi")
+    kept = docs.join(survivors.hint("merge"), docs["doc_id"] == F.col("__keep"), "left_semi")
     return kept.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
