@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from deltaplane.functions.draws import fast_uniform
 from deltaplane.functions.storage import stored
-from deltaplane.operators.buckets import bucket_of, splits
+from deltaplane.operators.buckets import bucket_of, near_splits
 from deltaplane.operators.evaluate import auuc, cate_lift, qini, qini_coefficient
 from deltaplane.operators.roles import Experiment
 
@@ -80,7 +80,7 @@ class UpliftForest:
             raise ValueError("a forest needs the key of the units")
         rate_divergence(np.zeros(1), np.zeros(1), self.metric)
         features = list(e.features)
-        inner = splits(df, features, max(self.bins, self.top_bins or 0), 10_000)
+        inner = near_splits(df, features, max(self.bins, self.top_bins or 0), 10_000)
         arms = e.arms(df).where(F.col(e.outcome).isNotNull())
         if not arms.where(~F.col(e.outcome).isin(0, 1)).isEmpty():
             raise ValueError(f"a forest needs outcomes 0 and 1; {e.outcome!r} has others")

@@ -26,8 +26,9 @@ def _is_text(df: DataFrame, feature: str) -> bool:
 def discretise(df: DataFrame, features: list[str], bins: int = 10, exact: bool = False, accuracy: int = 10_000) -> DataFrame:
     """df with each feature of more than `bins` distinct values replaced by its quantile bin; null and NaN become null.
 
-    Text features stay as they are: each value is a bin. Two passes over the frame, whatever the number of features;
-    the splits of all features meet in one task, so their accuracy bounds its memory (features x accuracy).
+    Text features stay as they are: each value is a bin. Three passes over the frame, whatever the number of features;
+    the sketches of all features meet in one task, so their accuracy bounds its memory (features x accuracy). The splits
+    are exact, whatever the accuracy.
     """
     features = [f for f in features if not _is_text(df, f)]
     if bins < 1 or not features:
