@@ -75,6 +75,14 @@ class Learner:
             df = df.withColumn(HELD, F.lit(False)).unionByName(validation.select(*df.columns).withColumn(HELD, F.lit(True)))
         return assembled(e.arms(df), e.features).withColumn("__t", F.when(e.is_treated, 1.0).otherwise(0.0))
 
+    def kept(self, df: DataFrame, validation: DataFrame | None = None, features: tuple[str, ...] = (), bases: tuple[Base, ...] = ()) -> tuple[DataFrame, DataFrame]:
+        """What fits read of the rows, stored: features, outcome, `__t` and what the bases name, as plain columns; and the
+        same rows with the features as one vector, which takes several times the room and is made anew in each pass."""
+        rows = self.rows(df, validation).drop(FEATURES)
+        named = [x for b in (self.base, *bases) for x in b.params.values() if isinstance(x, str) and x in rows.columns]
+        stored = rows.select(*dict.fromkeys([*self.e.features, *features, self.e.outcome, "__t", *([HELD] if HELD in rows.columns else []), *named])).persist()
+        return stored, assembled(stored, self.e.features)
+
     def finish(self, df: DataFrame, out: DataFrame, score: Column) -> DataFrame:
         return out.withColumn(self.output, score).select(*dict.fromkeys([*df.columns, self.output]))
 
@@ -109,11 +117,11 @@ class TLearner(Learner):
     """A model for each arm."""
 
     def fit(self, df: DataFrame, validation: DataFrame | None = None) -> Fitted:
-        rows = self.rows(df, validation).persist()
+        stored, rows = self.kept(df, validation)
         try:
             return Fitted(self, tuple(parallel(*[lambda t=t: self.base.fit(rows.where(F.col("__t") == t), F.col(self.e.outcome)) for t in (1.0, 0.0)])))
         finally:
-            rows.unpersist()
+            stored.unpersist()
 
     def score(self, df: DataFrame, parts: tuple) -> DataFrame:
         out = applied(parts[1], applied(parts[0], assembled(df, self.e.features), "__1"), "__0")
@@ -129,7 +137,7 @@ class XLearner(Learner):
 
     def fit(self, df: DataFrame, validation: DataFrame | None = None) -> Fitted:
         e = self.e
-        rows = self.rows(df, validation).persist()
+        stored, rows = self.kept(df, validation, self.second_features, (self.second,) if self.second else ())
         try:
             first = parallel(*[lambda t=t: self.base.fit(rows.where(F.col("__t") == t), F.col(e.outcome)) for t in (1.0, 0.0)])
             both = applied(first[1], applied(first[0], rows, "__1"), "__0")
@@ -138,7 +146,7 @@ class XLearner(Learner):
             effects = assembled(effects, self.second_features or e.features)
             second = parallel(*[lambda t=t: (self.second or self.base).fit(effects.where(F.col("__t") == t), F.col("__d")) for t in (1.0, 0.0)])
         finally:
-            rows.unpersist()
+            stored.unpersist()
         return Fitted(self, tuple(second))
 
     def score(self, df: DataFrame, parts: tuple) -> DataFrame:
@@ -245,12 +253,14 @@ class RLearner(Learner):
 
     def fit(self, df: DataFrame, validation: DataFrame | None = None) -> Fitted:
         e = self.e
-        read = [FEATURES, "__t", "__fold", e.outcome]
+        read = [*dict.fromkeys([*e.features, e.outcome]), "__t", "__fold"]
         rows = self.rows(df).withColumn("__fold", self.fold_of()).select(*read)
         if validation is not None:
             last = (rows.agg(F.max("__fold")).first()[0] or 0) + 1
             rows = rows.unionByName(self.rows(validation).withColumn("__fold", F.lit(last)).select(*read))
-        rows = rows.persist()
+        # Stored as plain columns: vectors take several times the room.
+        stored = rows.persist()
+        rows = assembled(stored, e.features)
         try:
             numbers = [r[0] for r in rows.select("__fold").distinct().orderBy("__fold").collect()]
             parts = parallel(*[lambda k=k: self._residuals(rows, k) for k in numbers])
@@ -261,7 +271,7 @@ class RLearner(Learner):
             out = out.where(F.abs(t) > 1e-9)
             return Fitted(self, ((self.final or self.base).fit(out, y / t, t * t),))
         finally:
-            rows.unpersist()
+            stored.unpersist()
 
     def _residuals(self, rows: DataFrame, k: object) -> DataFrame:
         rest, own = rows.where(F.col("__fold") != k), rows.where(F.col("__fold") == k)
